@@ -130,17 +130,25 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_by
     return fit(texts)
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score; works on all columns of docs, `text` being scored."""
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs, all columns, with the score of `text` as column `name`."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             scores = pa.array([model.score((t or "").encode("utf-8", "replace")) for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, name])
 
     return docs.mapInArrow(score, schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without those that a classifier learnt from labels (doc_id, label) rejects."""
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, train(docs.select("doc_id", "text"), labels), name).where(F.col(name) >= threshold).drop(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import gif, langid, packing, ppm, quality, simhash
+from tessella.llm import gif, index, langid, licences, packing, ppm, quality, roles, simhash, windows
 from tessella.llm.common import id_remainder, table
 
 
@@ -15,10 +15,26 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op2_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(gif.gif_column(table(spark, sf_dir, "documents"), "text"))
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sharing_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learn = labels.where(id_remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
@@ -51,7 +67,31 @@ def op10_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_gif_media, op6_compression_quality, op7_simhash_bktree, op8_ppm_scores, op9_mixture_packing, op10_word_backoff_language)
+    for f in (op1_role_repair, op2_licence_sentences, op3_gif_media, op4_compact_windows, op5_positional_index, op6_compression_quality, op7_simhash_bktree, op8_ppm_scores, op9_mixture_packing, op10_word_backoff_language)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = r"""
+WITH item_words AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+phrases AS (
+  SELECT DISTINCT item, w[b:b + least(10, len(w)) - 1] AS p
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS b FROM item_words WHERE len(w) > 0)),
+doc_words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+lengths AS (SELECT DISTINCT len(p) AS n FROM phrases),
+grams AS (
+  SELECT r, s, n, w[s:s + n - 1] AS g
+  FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM doc_words, lengths WHERE len(w) >= n)),
+hits AS (SELECT r, s, n, item FROM grams JOIN phrases ON g = p),
+covered AS (SELECT r, count(DISTINCT s + i - 1) AS n_hit FROM (SELECT r, s, unnest(generate_series(1, n)) AS i FROM hits) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_positional_index": OP5_SQL}

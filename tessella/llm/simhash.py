@@ -220,3 +220,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     ids = grouped.join(least, "component").select("fingerprint", "component_id")
     out = marked.join(ids, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """docs, all columns, with the document of the smallest doc_id of each group; rows of that id all stay, and rows of
+    a null id stay if a group has no other."""
+    found = near_duplicates(docs.select("doc_id", "text"), radius, shingle)
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
