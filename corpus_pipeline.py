@@ -1,19 +1,58 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: quality, near duplicates, repeated passages, benchmark leaks, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm.common import stored, table
+from tessella.llm import index, packing, quality, simhash, windows
+from tessella.llm.common import id_remainder, stored, table
+from tessella.llm.queries import tokenizer_path
 
-STAGES: list = []
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject; it learns as op6 does."""
+    labels = table(spark, sf_dir, "labels").where(id_remainder("doc_id", 5) != 0)
+    return quality.accepted(docs, labels.select("doc_id", F.col("quality").alias("label")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.without_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that several documents share stay in one of them."""
+    return windows.without_repeats(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without phrases of the benchmark."""
+    return index.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences for training."""
+    return packing.pack(docs.select("doc_id", "text", "source"), tokenizer_path(), with_ids=False).drop("ids")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: No stage but decontamination is expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each reading what the one before has written."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, name)
+            docs = stored(docs, name.replace(" ", "-"))
     return docs
