@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
 
@@ -93,12 +93,13 @@ def tokenizer():
 
 
 @given(st.text(alphabet=st.sampled_from(list("ab'sl1. \n\t  \x1c\x00é-")) | st.characters(codec="utf-8"), max_size=60))
-@settings(max_examples=400, deadline=None)
-def test_parts_give_the_same_ids(text):
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_parts_give_the_same_ids(tokenizer, text):
     if not hasattr(test_parts_give_the_same_ids, "e"):
         test_parts_give_the_same_ids.e = packing.PartEncoder(queries.tokenizer_path())
     e = test_parts_give_the_same_ids.e
-    assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = [text, text + " " + text, "a " + text + "\n" + text]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def pieces_cover(rows, docs, tokenizer, window=packing.WINDOW):
