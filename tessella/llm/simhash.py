@@ -11,7 +11,7 @@ fingerprints is cut into parts of at most about that many, each part's tree is s
 part whose fingerprints it is searched with, and so a crowded shard is spread over tasks and none holds it whole.
 
 Within a task links become a forest by union-find, so a crowd of n near copies gives n - 1 links and not n^2 / 2.
-Components of the links are found by hooking and pointer jumping on tables, checkpointed in the shared folder.
+Components of the links are found by contracting the graph on tables, stored in the shared folder.
 
 Nulls: a null text has no words, thus the fingerprint zero, linked like any other. Null ids are kept, and a component of
 null ids only has a null id. Repeated rows share a fingerprint and a component.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, small_batches, stored, whole_text
+from tessella.llm.common import small_batches, stored, whole_text
 
 RADIUS = 4
 SHINGLE = 4
@@ -188,26 +188,35 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, blocks: i
     return rows.repartition("table", "shard", "i", "j").sortWithinPartitions("table", "shard", "i", "j", "role", "fingerprint").mapInArrow(link_stage(radius), LINKS).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     """(node, component) for all ends of edges (a, b): the smallest node that can be reached.
 
-    Each round hooks every node to the smallest label next to it and then jumps over the labels' own labels.
+    Each round maps every node to the one next to it (or itself) that comes first in a hashed order, jumps along these
+    maps, and goes on with the edges between what nodes were mapped to: their number falls by a factor each round, also
+    on long paths. The rounds' maps are composed last.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = stored(both, "links")
-    labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"))
-    for _ in range(rounds):
-        nearby = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
-        hooked = labels.join(nearby, labels["node"] == nearby["a"]).select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        up = hooked.select(F.col("node").alias("up"), F.col("label").alias("jump"))
-        # The old label's new label also counts, so that whole trees move at once.
-        mine = hooked.join(up, hooked["label"] == up["up"]).select("node", "old", F.least("label", "jump").alias("label"))
-        after = checkpointed(mine)
-        changed = after.where("label <> old").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle")
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = stored(edges.where("a <> b").select(*ends("a", "b")).distinct(), "links")
+    maps: list[DataFrame] = []
+    while not (maps and left.isEmpty()):
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(order("b")).alias("first"))
+        mapped = stored(first.select(F.col("a").alias("node"), F.least(order("a"), F.col("first"))["x"].alias("label")), "map")
+        for _ in range(jumps):
+            onward = mapped.select(F.col("node").alias("via"), F.col("label").alias("jump"))
+            mapped = mapped.join(onward, F.col("label") == F.col("via")).select("node", F.col("jump").alias("label"))
+        mapped = stored(mapped, "map")
+        maps.append(mapped)
+        x, y = mapped.select(F.col("node").alias("a"), F.col("label").alias("x")), mapped.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        left = stored(left.join(x, "a").join(y, "b").where("x <> y").select(*ends("x", "y")).distinct(), "links")
+    found = maps.pop()
+    while maps:  # a node that the later rounds don't have has arrived
+        later = found.select(F.col("node").alias("via"), F.col("label").alias("last"))
+        found = maps.pop().join(later, F.col("label") == F.col("via"), "left").select("node", F.coalesce("last", "label").alias("label"))
+    found = stored(found, "map")
+    least = found.groupBy("label").agg(F.min("node").alias("component"))
+    return found.join(least, "label").select("node", "component")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
