@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators import classify, consensus, enrichment, neighbours, ranking, resampling, sets, statistics
+from tessella.operators import classify, clusters, consensus, enrichment, neighbours, ranking, resampling, sets, statistics
 from tessella.sources.tables import long_from_arrays, table, wide
 
 QUERIES: dict = {}
@@ -211,22 +211,22 @@ def welch_log_p(spark, sf):
 
 
 def distance_sql(value: str) -> str:
-    return f"WITH {LONG} SELECT x.sample AS a, y.sample AS b, round({value}, 6) AS dist FROM l x JOIN l y ON x.feature = y.feature AND x.sample < y.sample WHERE x.label = 0 AND y.label = 0 GROUP BY x.sample, y.sample"
+    return f"WITH {LONG} SELECT x.sample AS a, y.sample AS b, round({value}, 6) AS dist FROM l x JOIN l y ON x.feature = y.feature AND x.sample < y.sample GROUP BY x.sample, y.sample"
 
 
 @query(distance_sql("sqrt(sum((x.value - y.value) * (x.value - y.value)))"))
 def euclid_distance(spark, sf):
-    return rounded(statistics.distances(arrays(spark, sf).where("label = 0"), "euclid"), "dist")
+    return rounded(statistics.distances(arrays(spark, sf), "euclid"), "dist")
 
 
 @query(distance_sql("sum(abs(x.value - y.value))"))
 def manhattan_distance(spark, sf):
-    return rounded(statistics.distances(arrays(spark, sf).where("label = 0"), "manhattan"), "dist")
+    return rounded(statistics.distances(arrays(spark, sf), "manhattan"), "dist")
 
 
 @query(distance_sql("1 - corr(x.value, y.value)"))
 def pearson_distance(spark, sf):
-    return rounded(statistics.distances(arrays(spark, sf).where("label = 0"), "pearson"), "dist")
+    return rounded(statistics.distances(arrays(spark, sf), "pearson"), "dist")
 
 
 # Ranking and selection
@@ -598,3 +598,40 @@ def sweep_logistic(spark, sf):
 @query()
 def sweep_forest(spark, sf):
     return only_test(spark, sf, "forest")
+
+
+# Clusters
+
+
+def first_components(spark, sf, k=8):
+    return clusters.principal_components(arrays(spark, sf), k).withColumnRenamed("coord", "values")
+
+
+@query()
+def pca(spark, sf):
+    return first_components(spark, sf).select("sample", F.posexplode("values").alias("component", "value"))
+
+
+@query()
+def pam(spark, sf):
+    return clusters.best_medoid_clusters(statistics.distances(arrays(spark, sf), "euclid"), list(range(2, 13)))
+
+
+@query()
+def gmm_bic(spark, sf):
+    return clusters.mixture(first_components(spark, sf, 4), 6)[1]
+
+
+@query()
+def spectral(spark, sf):
+    shared = consensus.shared_neighbours(neighbours.knn(arrays(spark, sf), 10)).withColumnRenamed("shared", "weight")
+    return clusters.graph_clusters(shared, 10)
+
+
+@query()
+def cluster_transfer(spark, sf):
+    rows = arrays(spark, sf)
+    own = rows.select("sample", F.col("label").alias("cluster"))
+    folds = resampling.k_fold(rows.select("sample", F.lit(1).alias("grp")), 5, 7).where("fold = 1")
+    part = lambda role: rows.join(folds.where(F.col("role") == role).select("sample"), "sample", "left_semi")
+    return clusters.transferred(part("train"), own, part("valid"), 50)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars
-from tessella.operators import classify, consensus, enrichment, neighbours, ranking, resampling, sets, statistics
+from tessella.operators import classify, clusters, consensus, enrichment, neighbours, ranking, resampling, sets, statistics
 from tessella.sources import tables
 
 
@@ -270,3 +270,45 @@ def test_normalised_counts(spark):
     for r in statistics.log_normalised(rows).collect():
         found.setdefault(r["feature"], set()).add(round(r["value"], 9))
     assert all(len(v) == 1 for v in found.values())  # samples that differ by a factor become alike
+
+
+def test_medoids_against_all_choices():
+    rng = np.random.default_rng(5)
+    for k in (1, 2, 3):
+        x = rng.normal(size=(9, 2))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        best = min(d[:, list(c)].min(1).sum() for c in itertools.combinations(range(9), k))
+        assert clusters.medoids(d, k)[1] <= best * 1.05 + 1e-9
+
+
+def clouds(spark, n=45):
+    rng = np.random.default_rng(8)
+    return spark.createDataFrame([(i, (rng.normal(0, 0.3, 3) + 4 * (i % 3)).tolist()) for i in range(n)], "sample long, values array<double>").cache()
+
+
+def agrees(rows, n=3):
+    seen = {}
+    for r in rows:
+        seen.setdefault(r["sample"] % n, set()).add(r["cluster"])
+    return all(len(v) == 1 for v in seen.values()) and len(set.union(*seen.values())) == n
+
+
+def test_clusterers_find_three_clouds(spark):
+    rows = clouds(spark)
+    assert agrees(clusters.best_medoid_clusters(statistics.distances(rows), [2, 3, 4, 5]).collect())
+    many = clouds(spark, 300)
+    found, scores = clusters.mixture(many, 3)
+    assert agrees(found.collect()) and max(scores.collect(), key=lambda r: r["bic"])["k"] == 3
+    own = rows.select("sample", (F.col("sample") % 3 + 1).alias("cluster"))
+    moved = clusters.transferred(rows.where("sample < 30"), own, rows.where("sample >= 30"), 20).collect()
+    assert len(moved) == 15 and all(r["cluster"] == r["sample"] % 3 + 1 for r in moved)
+
+
+def test_principal_components_against_svd(spark):
+    rows = clouds(spark)
+    x = np.array([r["values"] for r in rows.orderBy("sample").collect()])
+    x = x - x.mean(0)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    want = u[:, :2] * s[:2] * [1 if vt[i][np.abs(vt[i]).argmax()] > 0 else -1 for i in range(2)]
+    got = np.array([r["coord"] for r in clusters.principal_components(rows, 2).orderBy("sample").collect()])
+    assert np.allclose(got, want, atol=1e-8)
