@@ -136,7 +136,7 @@ REPAIRED = "conv_id long, block long, n_turns int, cost long, n_merged int, n_re
 def repaired(turns: DataFrame) -> DataFrame:
     """One row for each block of a conversation of turns (conv_id, turn, role, text); `rendered` of the blocks, in their
     order, is the whole conversation. Conversations within `BLOCK` turn numbers have one block."""
-    small_batches(turns.sparkSession, 5000)
+    small_batches(turns.sparkSession)
     rows = numbered(turns)
     order = ["conv_id", "block", "turn", "role", "text"]
 

@@ -184,7 +184,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, blocks: i
         " transform(if(part > 0, sequence(0, part - 1), cast(array() as array<int>)), i -> struct(i as i, part as j, 1 as role)))"
     ))
     rows = crowded.select("table", "shard", task.alias("t"), "fingerprint").select("table", "shard", "t.i", "t.j", "t.role", "fingerprint")
-    small_batches(prints.sparkSession, 10_000)
+    small_batches(prints.sparkSession)
     return rows.repartition("table", "shard", "i", "j").sortWithinPartitions("table", "shard", "i", "j", "role", "fingerprint").mapInArrow(link_stage(radius), LINKS).distinct()
 
 
