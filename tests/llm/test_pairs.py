@@ -125,6 +125,69 @@ def corpus(seed=5):
     return {k: " ".join(v) for k, v in docs.items()}, " ".join(passage)
 
 
+def alike_windows(x, y, width, shift):
+    """All (start, end) in x, `width` or wider, of Jaccard similarity 0.8 with the stretch of y that lies `shift` further."""
+    out = []
+    for s in range(len(x)):
+        for e in range(s + width, len(x) + 1):
+            if s + shift >= 0 and e + shift <= len(y):
+                p, q = set(x[s:e]), set(y[s + shift : e + shift])
+                if 5 * len(p & q) >= 4 * len(p | q):
+                    out.append((s, e))
+    return out
+
+
+@pytest.mark.parametrize("n", [50, 55, 60, 70, 80])
+def test_passages_with_a_changed_word_at_each_place(n):
+    rng = random.Random(n)
+    fresh = lambda k: [rng.getrandbits(32) for _ in range(k)]
+    for changed in range(n):
+        passage, (before, after), (before2, after2) = fresh(n), (fresh(7), fresh(9)), (fresh(12), fresh(6))
+        other = [*passage[:changed], *fresh(1), *passage[changed + 1 :]]
+        a, b = np.array(before + passage + after, np.uint32), np.array(before2 + other + after2, np.uint32)
+        x, y = (windows.shingle_hashes(v.astype(np.uint64)).tolist() for v in (a, b))
+        brute = alike_windows(x, y, 46, 5)
+        assert brute
+        found = windows.verified(a, b)
+        assert len(found) == 1
+        s, e, s2, e2 = found[0]
+        assert s2 == s + 5 and e2 == e + 5 and e - s >= 50 and (s, e - 4) in brute
+        hits = [i for i in range(len(x)) if x[i] in set(y)]
+        assert s <= hits[0] and e >= hits[-1] + 5  # all that they share is in it
+
+
+@given(st.integers(0, 10**6), st.integers(40, 130), st.integers(0, 6))
+@settings(max_examples=40, deadline=None)
+def test_passages_with_changed_words_against_brute_force(seed, n, changes):
+    rng = random.Random(seed)
+    fresh = lambda k: [rng.getrandbits(32) for _ in range(k)]
+    passage = fresh(n)
+    other = passage.copy()
+    for i in rng.sample(range(n), changes):
+        other[i] = rng.getrandbits(32)
+    a, b = np.array(fresh(10) + passage + fresh(10), np.uint32), np.array(fresh(10) + other + fresh(10), np.uint32)
+    x, y = (windows.shingle_hashes(v.astype(np.uint64)).tolist() for v in (a, b))
+    found, brute, shared = windows.verified(a, b), alike_windows(x, y, 46, 0), set(y)
+    assert bool(found) == bool(brute)
+    covered = {i for s, e, _, _ in found for i in range(s, e - 4)}
+    assert {i for s, e in brute for i in range(s, e) if x[i] in shared} <= covered
+    assert all((s, e - 4) in brute for s, e, _, _ in found)
+
+
+def test_passages_that_moved_or_repeat_themselves():
+    rng = random.Random(8)
+    fresh = lambda k: [rng.getrandbits(32) for _ in range(k)]
+    p, q = fresh(60), fresh(70)
+    a, b = np.array(p + fresh(30) + q, np.uint32), np.array(q + fresh(20) + p, np.uint32)
+    assert sorted(windows.verified(a, b)) == [(0, 60, 90, 150), (90, 160, 0, 70)]
+    same = np.full(100, 7, np.uint32)
+    assert windows.verified(same, same[:80]) == [(0, 100, 0, 80)]
+    wide = fresh(300)
+    long = np.array(wide[:150] + fresh(40) + wide[150:], np.uint32)
+    got = windows.verified(long, np.array(wide, np.uint32))
+    assert (got[0][0], got[-1][1], got[0][2], got[-1][3]) == (0, 340, 0, 300)
+
+
 def test_shared_passages_are_found_and_clean_ones_left(spark):
     docs, _ = corpus()
     got = {r["doc_id"]: r for r in windows.sharing_documents(frame(spark, list(docs.items()))).collect()}
