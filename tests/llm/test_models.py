@@ -122,6 +122,20 @@ def brute_ppm(counts, order, context, symbol):
     return total - np.log10(256 - len(excluded))
 
 
+@pytest.mark.parametrize("nodes", [0, 40, ppm.MAX_NODES])
+def test_scores_use_all_counts_whatever_the_cache(spark, monkeypatch, nodes):
+    monkeypatch.setattr(ppm, "SHARD_ROWS", 50, raising=False)
+    texts = ["abracadabra", "abrupt cadavre", "bar bara abba", "", "quite other words abracadabra", "\u00e9t\u00e9 zebra", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, order = Counter(), ppm.ORDER
+    data = [bytes([ppm.START]) * order + (t or "").encode() + bytes([ppm.END]) for t in texts]
+    for d in data[:4]:
+        counts.update((d[i - order : i], d[i]) for i in range(order, len(d)))
+    want = {k: sum(brute_ppm(counts, order, d[i - order : i], d[i]) for i in range(order, len(d))) for k, d in enumerate(data)}
+    got = {r["doc_id"]: r["score"] for r in ppm.scores(docs, docs.where("doc_id < 4"), max_nodes=nodes).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 * abs(want[k]) for k in want)
+
+
 def test_trie_against_brute_force():
     texts, order = [b"abracadabra", b"abrupt cadavre", b"bar"], 2
     keys, n = np.unique(ppm.pair_keys(ppm.padded(texts, order), order), return_counts=True)
