@@ -271,13 +271,28 @@ def test_index_against_brute_force(spark):
 def test_proximity_against_brute_force(spark):
     docs = [(1, "alpha one two beta"), (2, "alpha one two three four beta"), (3, "beta alpha"), (4, "alpha x beta")]
     items = [(1, "alpha one two beta")]
-    terms = index.item_terms(spark.createDataFrame(items, "item_id long, text string"))
+    terms = index.entry_terms(index.entries(spark.createDataFrame(items, "item_id long, text string")))
     counts = spark.createDataFrame([("alpha", 1), ("beta", 2), ("one", 8), ("two", 9)], "term string, occurrences long")
     found = index.phrases(terms, counts)
     tests = index.test_terms(terms, found)
-    lists = index.postings(frame(spark, docs), tests)
+    rows = index.forward(frame(spark, docs))
+    ids = {r["row"]: r["doc_id"] for r in rows.collect()}
+    lists = index.postings(rows, tests)
     for slack, want in ((0, {1}), (1, {1, 4}), (2, {1, 2, 4}), (4, {1, 2, 3, 4})):
-        assert {r["doc"] for r in index.proximity_matches(lists, tests, found, slack).collect()} == want
+        assert {ids[r["row"]] for r in index.proximity_matches(lists, tests, found, slack).collect()} == want
+
+
+def test_only_ascii_capitals_are_lowered(spark):
+    points = spark.range(1, 0x30000).where("id < 55296 or id > 57343")
+    rows = points.select(F.concat(F.lit("aA"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32"), F.lit("Zσ")).alias("text"))
+    assert rows.where(index.lowered(F.col("text")) != F.translate("text", index.UPPER, index.LOWER)).count() == 0
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", [1], "x", 2), (2, "q", None, None, None), (1, "other", [3], "y", 4), (None, "a b c", [5], "z", 6)], "doc_id long, text string, hits array<int>, words string, row long")
+    docs = docs.withColumns({c: F.lit(7) for c in ("entry", "mark", "places", "found_words", "place_doc", "start", "n")})
+    left = index.uncontaminated(docs, spark.createDataFrame([(1, "b C")], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted((r["doc_id"], r["text"], r["hits"], r["row"]) for r in left.collect()) == [(1, "other", [3], 4), (2, "q", None, None)]
 
 
 def test_index_plan_runs_no_python(spark, sf_dir):
