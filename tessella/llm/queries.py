@@ -61,7 +61,7 @@ def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(id_remainder("doc_id", 4) != 2).select("text", "lang"))
-    found = langid.with_language(docs.select("doc_id", "text"), model)
+    found = langid.with_language(docs.select("doc_id", "text"), model, keep_text=False)
     return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 

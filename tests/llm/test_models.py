@@ -4,6 +4,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessella.llm import langid, ppm, quality, queries
 from tessella.llm.common import table
 
@@ -50,15 +52,57 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([got[d]["lang_pred"] == lang[d] for d in test]) > 0.97 and all(0 <= r["score"] <= 1 for r in got.values())
 
 
-def test_language_backs_off_by_length():
-    vector = lambda *x: np.array(x)
-    model = langid.Model(["a", "b"], {"known": vector(1.0, 7.0)}, [{}, {}, {"xyz": vector(7.0, 2.0)}, {}, {"wxyzv": vector(3.0, 7.0)}])
-    assert model.cost("known").tolist() == [1.0, 7.0]
-    assert model.cost("wxyzv").tolist() == [3.0, 7.0]  # the longest n-grams decide alone
-    assert model.cost("xyz").tolist() == [7.0, 2.0]
-    assert model.cost("q").tolist() == [langid.PENALTY] * 2
-    assert model.predict("known")[0] == "a" and model.predict("12")[0] == "und" and model.predict(None) == ("und", 0.0)
-    assert model.predict("q")[0] == "a"  # a tie
+def brute_language(training, texts):
+    """By dictionaries of all words and n-grams, kept whole."""
+    words = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    grams = lambda w, k: [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)]
+    counts = {k: {} for k in range(6)}
+    for text, lang in training:
+        for w in words(text) if text is not None and lang is not None else []:
+            for k in range(6):
+                counts[k].setdefault(lang, Counter()).update([w] if k == 0 else grams(w, k))
+    langs = sorted(counts[0])
+
+    def costs(k, x):
+        n = [counts[k].get(lang, {}).get(x, 0) for lang in langs]
+        return [min(7.0, -np.log10(c / sum(counts[k][lang].values()))) if c else 7.0 for c, lang in zip(n, langs, strict=True)] if any(n) else None
+
+    def cost(w):
+        if (c := costs(0, w)) is not None:
+            return c
+        for k in range(5, 0, -1):
+            if known := [c for g in grams(w, k) if (c := costs(k, g)) is not None]:
+                return np.mean(known, axis=0)
+        return [7.0] * len(langs)
+
+    out = []
+    for t in texts:
+        w = words(t)
+        if not w or not langs:
+            out.append(("und", 0.0))
+            continue
+        mean = np.mean([cost(x) for x in w], axis=0)
+        at = int(mean.argmin())
+        out.append((langs[at], 1 / sum(10 ** (-min(len(w), 20) * (mean - mean[at])))))
+    return out
+
+
+@pytest.mark.parametrize("cache", [0, 600, 4000, langid.CACHE_BYTES])
+def test_language_against_brute_force_whatever_the_cache(spark, cache):
+    rows = [
+        (1, "the cat and the dog \u00bd ran", "en"), (2, "le chat et le chien \u2167 courent", "fr"), (3, "der hund und die katze", "de"), (4, None, "en"), (5, "nobody knows", None),
+        (6, "the dog", "en"), (6, "the dog", "en"), (None, "chienne chatte", "fr"), (8, "katzen hunde " * 30 + "x" * 5000, "de"), (9, "", "fr"),
+    ]
+    texts = [*[r[1] for r in rows], "caterpillars", "hundert chatons", "\u00bd \u2167 \u00b2 12", "qqq zzz", "\u65e5\u672c", "Katze-Hund_9\u00b2cat", "y" * 3000, "x" * 4999]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, cache)
+    asked = spark.createDataFrame([(i, t, "a", 0.5, 3) for i, t in enumerate(texts)], "doc_id int, text string, word string, score double, costs int").withColumns({"key": F.lit(1), "_row": F.lit(2)})
+    got = langid.with_language(asked, model)
+    assert got.columns == ["doc_id", "text", "word", "costs", "key", "_row", "lang_pred", "score"]
+    want = brute_language([(r[1], r[2]) for r in rows], texts)
+    for r in got.collect():
+        pred, score = want[r["doc_id"]]
+        assert (r["lang_pred"], r["text"]) == (pred, texts[r["doc_id"]]) and abs(r["score"] - score) < 1e-4, (r, pred, score)
 
 
 def test_language_odd_tables(spark):
