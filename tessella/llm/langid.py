@@ -21,7 +21,6 @@ such columns. An empty table gives no rows.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,14 +37,15 @@ PENALTY = 7.0
 CACHE_BYTES = 24 << 20
 HELD = 200_000
 UNKNOWN = "und"
-#: Digits and numbers that Python's \w takes for parts of words.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W_{NUMBERS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 FACTORS = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    found = LETTERS.findall(text.lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]  # numbers such as fractions are no letters
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
