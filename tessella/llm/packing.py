@@ -1,7 +1,8 @@
 """Mixture-controlled packing: deficit round-robin over one queue per source fills fixed-size sequences.
 
-Documents are dealt by a hash of their id into buckets of bounded size; a bucket is read as a stream and packed on its
-own, so no group of one source ever meets in one task. Each source has a target share of the tokens (its share of the
+Documents are dealt by a hash of their id, source and text into buckets of about equal size; a bucket is read as a stream
+and packed on its own, so no group of one source or id ever meets in one task. A task has a run of successive buckets:
+one while there are at most `TASKS` of them. Each source has a target share of the tokens (its share of the
 corpus unless given). A window of `window` tokens adds share * window to the deficit of every source; the source with
 the largest deficit is served next, in pieces cut at document ends, at the window's end or where its deficit is used up
 (pieces are not cut below `min_piece` tokens for that). What is left of a deficit goes on to the next window, and a
@@ -31,6 +32,7 @@ from tessella.llm.common import small_batches, whole_text
 WINDOW = 2048
 END_ID = 1
 BUCKET_BYTES = 24 << 20
+TASKS = 20_000
 MIN_PIECE = 256
 #: Tokens that wait in a bucket's queues before windows are filled, so that every source has some to offer.
 BACKLOG = 512 * 1024
@@ -50,6 +52,7 @@ class PartEncoder:
 
     The byte-level pattern splits a text at its white space (a word takes the one space before it), so the ids of a text
     are those of its parts. New parts are encoded many in one string, and told apart by the bytes that tokens stand for.
+    Texts that hold one of the file's added tokens, which are cut out before anything else, go to `tokenizers` as they are.
     The file is a byte-level BPE of the `tokenizers` library, whose ids are the ranks of its merges; they are encoded by
     the ranks, which for words that come once takes an eighth of that library's time, and gives the same ids.
     """
@@ -58,7 +61,10 @@ class PartEncoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        self.whole = Tokenizer.from_file(path)
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
         as_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(as_byte[c] for c in token): i for token, i in vocabulary.items() if all(c in as_byte for c in token)}
@@ -94,6 +100,9 @@ class PartEncoder:
                 known.clear()
         split, words, starts, others = [], set(), set(), set()
         for t in texts:
+            if self.added.search(t):
+                split.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
             lines = t.split("\n")
             # Single spaces and line ends between words, nothing else: then words need no pattern.
             parts = [x.split(" ") for x in lines]
@@ -113,7 +122,9 @@ class PartEncoder:
         after, line, other = self.known.__getitem__, self.lines.__getitem__, self.others.__getitem__
         out = []
         for parts in split:
-            if parts and isinstance(parts[0], list):
+            if isinstance(parts, bytes):
+                out.append(parts)
+            elif parts and isinstance(parts[0], list):
                 ids = [other(parts[0][0]), *map(after, parts[0][1:])]
                 for x in parts[1:]:
                     ids.append(line(x[0]))
@@ -252,7 +263,7 @@ def pack(
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long") + 1)
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n = max(1, -(-total // bucket_bytes))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(n)).cast("long"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "source", "text", F.lit("bucket")), F.lit(n)).cast("long"))
     sizes = rows.groupBy("bucket", "source").agg(F.sum("n_bytes").alias("bytes"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     share = F.sum("bytes").over(Window.partitionBy("source")) / F.lit(float(max(1, total)))
@@ -268,5 +279,6 @@ def pack(
         (F.col("share") * F.lit(float(total)) * F.col("bucket") / F.lit(float(n)) - F.col("before")).alias("carry"),
     )
     both = rows.select("*", F.lit(1).alias("kind"), F.lit(0.0).alias("share"), F.lit(0.0).alias("carry")).unionByName(heads)
-    dealt = both.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", F.xxhash64("doc_id", F.lit("order")), "doc_id", "source")
+    tasks = min(n, TASKS)
+    dealt = both.repartitionById(tasks, F.floor(F.col("bucket") * tasks / F.lit(float(n))).cast("int")).sortWithinPartitions("bucket", "kind", F.xxhash64("doc_id", F.lit("order")), "doc_id", "source")
     return dealt.mapInArrow(packer(tokenizer, window, min_piece, end_id, with_ids), PIECES)

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tessella.llm import gif, packing, queries
 
@@ -87,9 +88,7 @@ def test_media_odd_texts(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 @given(st.text(alphabet=st.sampled_from(list("ab'sl1. \n\t  \x1c\x00é-")) | st.characters(codec="utf-8"), max_size=60))
@@ -149,8 +148,16 @@ def test_buckets_carry_deficits(spark, tokenizer):
     pieces_cover(rows, docs, tokenizer)
 
 
+def test_tasks_have_about_as_much_to_read(spark):
+    docs = [(None if i % 3 else i, f"text {i} " * 40, "a") for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = packing.pack(frame, queries.tokenizer_path(), bucket_bytes=60_000)
+    tokens = [r[1] for r in rows.groupBy(F.spark_partition_id()).agg(F.sum("length")).collect()]
+    assert len(tokens) == rows.rdd.getNumPartitions() > 10 and max(tokens) < 1.5 * sorted(tokens)[len(tokens) // 2]
+
+
 def test_packing_odd_texts(spark, tokenizer):
-    docs = [(i, t, None if i % 2 else "s") for i, t in enumerate(ODD)]
+    docs = [(i, t, None if i % 2 else "s") for i, t in enumerate([*ODD, "<|endoftext|>", "a <|endoftext|> b<|endoftext|>\n"])]
     frame = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, source string, bucket int, kind int")
     pieces_cover(packing.pack(frame, queries.tokenizer_path()).collect(), docs, tokenizer)
     assert packing.pack(frame.limit(0), queries.tokenizer_path()).count() == 0
