@@ -1,7 +1,10 @@
 import itertools
 import random
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from tessella.llm import licences, queries, roles
@@ -80,39 +83,148 @@ def test_repair_odd_rows(spark):
 MIT = """Copyright (c) 2020 Some One
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal.
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all
 copies or substantial portions of the Software.
 
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS.
-IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY.
 """
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
 
+    http://www.apache.org/licenses/LICENSE-2.0
 
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD = """Copyright (c) 2001, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+BSD3 = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def commented(text, mark):
+    return {"": text, "/*": "/*\n" + "".join(f" * {x}\n" for x in text.split("\n")) + " */\n"}.get(mark) or "".join(f"{mark} {x}\n" for x in text.split("\n"))
+
+
+@pytest.mark.parametrize("mark", ["", "#", "//", "/*", "--", ";;"])
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        (MIT, ["MIT"]),
+        (MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (GPL, ["GPL-3.0-or-later"]), (BSD.format(""), ["All-rights-reserved", "BSD-2-Clause"]), (BSD.format(BSD3), ["All-rights-reserved", "BSD-3-Clause"]), (MPL, ["MPL-2.0"]),
         ("Words before. Licensed under the Apache License, Version 2.0.\nWords after.", ["Apache-2.0"]),
         ("Released under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.", ["MIT", "GPL-3.0"]),
-        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
-        ("The licence of poets is wide. No warranty here.", []),
-        ("", []),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("The licence of poets is wide. No warranty here.", []), ("", []),
     ],
-)
-def test_licence_rules(text, want):
-    import re
+)
+def test_licence_texts_plain_and_in_comments(text, want, mark):
+    ids, _ = licences.sentence_ids(commented(text, mark), licences.sentence_table(licences.SENTENCES))
+    found, used = licences.licences(ids)
+    assert found == want and all(used)
+
+
+def brute_sentences(text):
+    """Known sentences by a pattern for each, tried at each start."""
+    lines = []
+    for x in text.split("\n"):
+        x = re.sub(r"^\s*((#+|//+|/\*+|\*+/?|--+|;+)\s*)*", "", x)
+        lines.append(re.sub(r"^(\(?[0-9a-z]{1,2}[.)]|[-•])[ \t]+", "", re.sub(r"\s*\*+/?\s*$", "", x), flags=re.I))
+    parts, patterns = [], []
+    for p in re.split(r"[\n.,:;!?()\[\]]", "\n".join(lines).lower().replace("licence", "license")):
+        parts.append(re.findall(r"[^\W_]+", p))
+    for name, t in licences.SENTENCES.items():
+        for head in ["", *[b + " " for b in licences.BEFORE_NAMES]] if name.endswith(("-name", "-long")) else [""]:
+            whole = (head + t).replace("licence", "license")
+            patterns.append((len(whole.split()) - whole.count("*"), name, re.compile(whole.replace(" * ", r"(?: \w+){0,12}? ") + r"(?!\w)")))
+    patterns.sort(key=lambda x: -x[0])
+    found, free, at = [], 0, 0
+    for i, p in enumerate(parts):
+        if p and at >= free:
+            rest = " ".join(w for q in parts[i:] for w in q)
+            for _, name, pattern in patterns:
+                if m := pattern.match(rest):
+                    found.append(name)
+                    free = at + len(m[0].split())
+                    break
+        at += len(p)
+    return found
+
+
+@given(st.lists(st.sampled_from([*licences.SENTENCES]), min_size=1, max_size=5), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_sentences_against_a_brute_force_matcher(names, seed):
+    rng = random.Random(seed)
+    text = ""
+    for n in names:
+        filled = licences.SENTENCES[n].replace("*", " ".join(rng.choices(["Some", "Body", "2020", "and"], k=rng.randint(0, 12))))
+        if n.endswith(("-name", "-long")) and rng.random() < 0.5:
+            filled = rng.choice(licences.BEFORE_NAMES).capitalize() + " " + filled
+        words = filled.split()
+        text += rng.choice(["", "Other words. ", "words, "]) + "".join(w + rng.choice([" ", " ", " ", "\n", ", "]) for w in words) + rng.choice([". ", ".\n", ";\n\n"])
+    text = commented(text, rng.choice(["", "#", "//", "/*"]))
+    assert licences.sentence_ids(text, licences.sentence_table(licences.SENTENCES))[0] == brute_sentences(text)
+
 
-    patterns = [(k, re.compile(v)) for k, v in licences.SENTENCES.items()]
-    assert licences.licences(licences.sentence_ids(text, patterns)[0]) == want
+def test_each_rule_is_found_by_its_sentences():
+    table = licences.sentence_table(licences.SENTENCES)
+    for name, sequence in licences.RULES:
+        text = " words of no licence.\n\n".join(licences.SENTENCES[x].replace("*", "one two").capitalize() + "." for x in sequence)
+        ids, _ = licences.sentence_ids(text, table)
+        assert tuple(ids) == sequence and licences.licences(ids)[0] == [name]
+    assert all(licences.MARKS.search(x) for x in licences.SENTENCES.values()) and len({n for n, _ in licences.RULES}) >= 40
 
 
 def test_rules_are_ordered_sequences():
     rules = (("long", ("a", "b", "c")), ("short", ("a", "b")), ("one", ("c",)))
-    assert licences.licences(["a", "b", "c"], rules) == ["long"]
-    assert licences.licences(["c", "a", "b"], rules) == ["one", "short"]
-    assert licences.licences(["a", "c", "b"], rules) == ["one"]
+    assert licences.licences(["a", "b", "c"], rules) == (["long"], [True] * 3)
+    assert licences.licences(["c", "a", "b"], rules)[0] == ["one", "short"]
+    assert licences.licences(["a", "c", "b"], rules) == (["one"], [False, True, False])
+    assert licences.licences(["a", "copyright", "b"], rules) == (["short"], [True, False, True])
+    assert licences.licences(["a", "a", "b"], rules) == (["short"], [False, True, True])
+    assert licences.licences(["mit-grant", "mit-name"]) == (["MIT"], [False, True])
 
 
 def test_licence_query(spark):
@@ -120,7 +232,7 @@ def test_licence_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r["doc_id"]: r for r in queries.op2_licence_sentences(spark, sf).collect()}
     assert set(got) == set(docs)
-    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "All-rights-reserved"}
     n = 0
     for d, t in docs.items():
         want = {v for k, v in lines.items() if k in t}
