@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
+BATCH_BYTES = "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch. The bound is read when a plan runs, so all stages of a plan have the last one set."""
+    """Bound the rows and the bytes of an Arrow batch, so that a batch of very long texts stays small too.
+
+    The bounds are read when a plan runs, so all stages of a plan have the last ones set; no result depends on them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:

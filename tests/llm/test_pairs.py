@@ -204,13 +204,78 @@ def test_shared_passages_are_found_and_clean_ones_left(spark):
 def test_salts_change_nothing(spark, monkeypatch):
     docs, passage = corpus(9)
     docs |= {i: f"{i} " * 60 + " ".join(f"w{i}x{j}" for j in range(40)) + " " + passage for i in range(100, 160)}
-    plain = sorted(windows.sharing_documents(frame(spark, list(docs.items()))).drop("n_links").collect())
+    plain = sorted(windows.sharing_documents(frame(spark, list(docs.items()))).collect())
     monkeypatch.setattr(windows, "PROBE", 1)
     monkeypatch.setattr(windows, "SALTS", 3)
-    assert sorted(windows.sharing_documents(frame(spark, list(docs.items()))).drop("n_links").collect()) == plain
+    assert sorted(windows.sharing_documents(frame(spark, list(docs.items()))).collect()) == plain
     assert {r["class_id"] for r in plain if r["doc_id"] >= 100} == {1}
 
 
+def crowd_of_phrases(seed, words, pairs=40, others=400):
+    """Pairs that alone share a passage partly made of 12-word phrases, among texts that have the phrases in other surroundings."""
+    rng = random.Random(seed)
+    text = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(n)]
+    common = [text(12) for _ in range(6)]
+    docs = {1000 + i: text(30) + common[i % 6] + text(25) + common[(i + 1) % 6] + text(20) for i in range(others)}
+    for i in range(pairs):
+        passage = common[i % 6] + text((words - 36) // 2) + common[(i + 2) % 6] + text(words - 36 - (words - 36) // 2) + common[(i + 4) % 6]
+        docs[2 * i] = text(40) + passage + text(30)
+        docs[2 * i + 1] = text(25) + passage + text(45)
+    return {k: " ".join(v) for k, v in docs.items()}
+
+
+@pytest.mark.parametrize("words", [55, 100])
+def test_passages_of_common_phrases_are_found_among_others_that_have_these(spark, words):
+    docs = crowd_of_phrases(words, words)
+    got = {r["doc_id"]: r["class_id"] for r in windows.sharing_documents(frame(spark, list(docs.items()))).collect()}
+    found = sum(got.get(2 * i + 1) == 2 * i == got.get(2 * i) for i in range(40))
+    assert found >= 38 and all(d < 80 for d in got)  # recall 0.95, and no text that only has the phrases
+
+
+def test_long_boilerplate_hides_no_passage(spark):
+    rng = random.Random(2)
+    text = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(n)]
+    line = text(40)
+    docs = {1000 + i: text(30) + line + text(40) for i in range(400)}
+    for i in range(40):
+        passage = line + text(20)
+        docs[2 * i], docs[2 * i + 1] = text(40) + passage + text(30), text(25) + passage + text(45)
+    got = {r["doc_id"]: r["class_id"] for r in windows.sharing_documents(frame(spark, [(k, " ".join(v)) for k, v in docs.items()])).collect()}
+    assert sum(got.get(2 * i + 1) == 2 * i == got.get(2 * i) for i in range(40)) >= 37 and all(d < 80 for d in got)
+
+
+def test_near_passages_against_all_pairs(spark):
+    """Pairs of texts that share a passage of 50 to 120 words with some words changed, by brute force over all pairs."""
+    rng = random.Random(12)
+    text = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(n)]
+    docs = {}
+    for i in range(60):
+        passage = text(rng.randint(50, 120))
+        other = [w if rng.random() > 0.025 else text(1)[0] for w in passage]
+        docs[2 * i], docs[2 * i + 1] = text(rng.randint(5, 60)) + passage + text(rng.randint(5, 60)), text(rng.randint(5, 60)) + other + text(rng.randint(5, 60))
+    known = windows.Words()
+    hashes = {k: known.hashes(" ".join(v)) for k, v in docs.items()}
+    brute = {(a, b) for a in docs for b in docs if a < b and windows.verified(hashes[a], hashes[b])}
+    got = {r["doc_id"]: r["class_id"] for r in windows.sharing_documents(frame(spark, [(k, " ".join(v)) for k, v in docs.items()])).collect()}
+    found = {(a, b) for a, b in brute if a in got and got[a] == got.get(b)}
+    assert len(brute) > 35 and len(found) >= 0.95 * len(brute) and set(got) <= {x for p in brute for x in p}
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(windows.F, "xxhash64", lambda c, *more: real(c if isinstance(c, str) else F.substring(c, 1, 1), *more))
+    rows = windows.with_text_id(frame(spark, [(1, "abc"), (2, "abd"), (3, "abc"), (4, None), (5, "")])).collect()
+    ids = {r["doc_id"]: r["text_id"] for r in rows}
+    assert len(rows) == 5 and ids[1] == ids[3] != ids[2] and ids[4] == ids[5]
+
+
+def test_repeats_keep_columns_of_any_name(spark):
+    docs, _ = corpus()
+    rows = frame(spark, list(docs.items())).withColumns({c: F.lit(7) for c in ("text_id", "spans", "copies", "kept_id", "mark", "start", "_digest")})
+    left = windows.without_repeats(rows)
+    assert left.columns == rows.columns and left.where("spans = 7 and mark = 7 and copies = 7 and text_id = 7").count() == len(docs) - 1
+
+
 def test_repeats_are_cut_once(spark):
     docs, passage = corpus()
     left = {r["doc_id"]: r["text"] for r in windows.without_repeats(frame(spark, list(docs.items()))).collect()}
