@@ -95,6 +95,31 @@ def test_simhash_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 2, 3, 3, 6]
 
 
+def test_near_groups_against_all_pairs(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    docs, k = {}, 0
+    for i in range(80):  # families of copies with some words changed
+        base = [word() for _ in range(rng.choice([3, 20, 60, 150, 400]))]
+        for _ in range(rng.randint(1, 5)):
+            docs[k] = " ".join(w if rng.random() > 0.02 else word() for w in base)
+            k += 1
+    sets = {d: set(simhash.shingles(t, 5)) for d, t in docs.items()}
+    brute = [(a, b) for a in docs for b in docs if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = joined_by(brute, docs)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(frame(spark, list(docs.items()))).collect()}
+    found = sum(got[a] == got[b] for a, b in brute)
+    assert len(brute) > 60 and found >= 0.97 * len(brute)
+    assert all(want[d] == want[g] for d, g in got.items())  # nothing that all pairs don't join
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    rows = frame(spark, ODD).withColumns({c: F.lit(7) for c in ("kept_id", "fingerprint", "node", "text_id", "group_id", "component", "a", "b")})
+    left = simhash.without_near_duplicates(rows)
+    assert left.columns == rows.columns and left.where("kept_id = 7 and node = 7").count() == 6
+    assert simhash.without_near_duplicates(rows.limit(0)).count() == 0
+
+
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=40), st.integers(1, 6))
 @settings(max_examples=100, deadline=None)
 def test_compact_windows_cover_each_subsequence_once(values, least):
