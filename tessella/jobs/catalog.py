@@ -138,6 +138,25 @@ def holdout_disjoint(spark, sf):
     return resampling.holdouts(members(spark, sf), 0.25, 7)
 
 
+@query(
+    f"WITH {MEMBERS}, o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(concat_ws('|', '7', grp, sample)), sample) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM m), "
+    "r AS (SELECT CAST(f AS INTEGER) AS fold, grp, sample, CASE WHEN (rn - 1) // (n // 5) + 1 = f THEN 'valid' ELSE 'train' END AS role, CASE WHEN rn <= (f - 1) * (n // 5) THEN rn ELSE rn - n // 5 END AS place FROM o, generate_series(1, 5) AS t(f)), "
+    "k AS (SELECT fold, grp, count(*) AS own FROM r WHERE role = 'train' GROUP BY 1, 2), x AS (SELECT fold, grp, own, unnest(generate_series(1, most - own)) AS c FROM (SELECT *, max(own) OVER (PARTITION BY fold) AS most FROM k)), "
+    "e AS (SELECT fold, grp, c, CAST('0x' || substr(md5(concat_ws('|', '7o', fold, grp, c)), 1, 8) AS BIGINT) % own + 1 AS place FROM x) "
+    "SELECT fold, role, grp, sample, CAST(0 AS INTEGER) AS copy_no FROM r UNION ALL SELECT e.fold, role, e.grp, sample, CAST(c AS INTEGER) FROM e JOIN r ON e.fold = r.fold AND e.grp = r.grp AND e.place = r.place AND role = 'train'"
+)
+def kfold_oversampled(spark, sf):
+    return resampling.k_fold_oversampled(members(spark, sf), 5, 7)
+
+
+@query(
+    f"WITH {MEMBERS}, o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(concat_ws('|', '7', grp, sample)), sample) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM m) "
+    "SELECT sample, grp, CASE WHEN rn <= floor(n * CAST(0.2 AS DOUBLE)) THEN 'test' WHEN rn <= floor(n * CAST(0.2 AS DOUBLE)) + floor(n * CAST(0.25 AS DOUBLE)) THEN 'valid' ELSE 'train' END AS role FROM o"
+)
+def three_way_split(spark, sf):
+    return resampling.three_way(members(spark, sf), 0.2, 0.25, 7)
+
+
 @query(
     f"WITH {MEMBERS}, o AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY md5(concat_ws('|', '7', f, sample)), sample) AS rn, sum(CASE WHEN grp = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY f) AS n1 FROM m, generate_series(1, 10) AS t(f)) "
     "SELECT CAST(f AS INTEGER) AS replicate, sample, grp, CASE WHEN rn <= n1 THEN 1 ELSE 2 END AS pseudo FROM o"
@@ -156,6 +175,15 @@ def consensus_subsamples(spark, sf):
     return resampling.subsampled_runs(arrays(spark, sf), 10, 0.8, 7)
 
 
+@query(
+    "WITH o AS (SELECT vec_id AS sample, row_number() OVER (ORDER BY md5(concat_ws('|', '7', 0, vec_id)), vec_id) AS rn FROM embeddings), k AS (SELECT count(*) AS n FROM embeddings), "
+    "d AS (SELECT f AS run, unnest(generate_series(1, CAST(round_even(n * CAST(0.8 AS DOUBLE), 0) AS BIGINT))) AS c, n FROM k, generate_series(1, 10) AS t(f)), "
+    "e AS (SELECT run, c, CAST('0x' || substr(md5(concat_ws('|', '7r', run, c)), 1, 8) AS BIGINT) % n + 1 AS rn FROM d) SELECT CAST(run AS INTEGER) AS run, CAST(c AS INTEGER) AS copy_no, sample FROM e JOIN o USING (rn)"
+)
+def consensus_draws(spark, sf):
+    return resampling.drawn_runs(arrays(spark, sf), 10, 0.8, 7)
+
+
 # Statistics
 
 
@@ -409,6 +437,12 @@ def enrichment_nes(spark, sf):
     return enrichment.activity(long(spark, sf).select("sample", "feature", "value"), network)
 
 
+@query()
+def enrichment_against_null(spark, sf):
+    network = enrichment.pruned(enrichment.correlation_network(long(spark, sf), 2), 20)
+    return enrichment.activity_against_null(long(spark, sf).select("sample", "feature", "value"), members(spark, sf), network, 100, 7)
+
+
 # Consensus clustering: run r looks at four positions, and the largest names the cluster; four fifths of the samples are in a run.
 
 RUNS = """runs AS (SELECT CAST(r AS INTEGER) AS run, vec_id AS sample, CAST(list_position(embedding[4 * r + 1 : 4 * r + 4], list_max(embedding[4 * r + 1 : 4 * r + 4])) AS INTEGER) AS cluster
@@ -448,7 +482,7 @@ def low(spark, sf):
     return table(spark, sf, "embeddings").where("label = 3").select(F.col("vec_id").alias("sample"))
 
 
-@query(f"WITH {PAIRS}, {LOW} SELECT c.row_sample, c.col_sample, CASE WHEN low.sample IS NULL THEN c.n END AS n, round(CASE WHEN low.sample IS NULL THEN c.n / d.n END, 6) AS norm FROM ca c LEFT JOIN low ON c.col_sample = low.sample LEFT JOIN ca d ON d.row_sample = c.col_sample AND d.col_sample = c.col_sample")
+@query(f"WITH {PAIRS}, {LOW} SELECT c.row_sample, c.col_sample, CASE WHEN low.sample IS NULL THEN c.n END AS n, round(CASE WHEN low.sample IS NULL THEN c.n / own.whole END, 6) AS norm FROM ca c LEFT JOIN low ON c.col_sample = low.sample LEFT JOIN own ON own.sample = c.col_sample")
 def mask_low_confidence(spark, sf):
     return rounded(consensus.masked(consensus.coassociation(runs(spark, sf)), low(spark, sf)), "norm")
 
@@ -497,6 +531,33 @@ def farthest_clusters(spark, sf):
     return rounded(consensus.farthest(centres(spark, sf), 3), "dist")
 
 
+VERSUS = f"""{MEDIANS}, far AS (SELECT ci, cj, row_number() OVER (PARTITION BY ci ORDER BY dist DESC, cj) AS place FROM cd WHERE ci <> cj QUALIFY place <= 3),
+mem AS (SELECT label AS cluster, sample, feature, value, 1 AS grp FROM l UNION ALL SELECT ci, sample, feature, value, 2 FROM far JOIN l ON label = cj),
+tt AS (SELECT cluster, feature, (avg(value) FILTER (WHERE grp = 1) - avg(value) FILTER (WHERE grp = 2)) / sqrt(var_samp(value) FILTER (WHERE grp = 1) / count(*) FILTER (WHERE grp = 1) + var_samp(value) FILTER (WHERE grp = 2) / count(*) FILTER (WHERE grp = 2)) AS nes FROM mem GROUP BY 1, 2)"""
+
+
+def versus_farthest(spark, sf):
+    """(cluster, feature, nes): each cluster's Welch's t against the three clusters farthest from it."""
+    from tessella.jobs import workflows
+
+    rows = long(spark, sf)
+    own = rows.select("sample", F.col("label").alias("cluster")).distinct()
+    members = consensus.cluster_members(own, consensus.farthest(centres(spark, sf), 3))
+    return workflows.signatures(rows.select("sample", "feature", "value"), members, "cluster")
+
+
+@query(f"WITH {VERSUS} SELECT cluster, feature, round(nes, 6) AS nes, CAST(row_number() OVER (PARTITION BY cluster ORDER BY abs(nes) DESC, feature) AS INTEGER) AS rank FROM tt")
+def cluster_versus_farthest(spark, sf):
+    found = ranking.ranked(versus_farthest(spark, sf).withColumnRenamed("nes", "score"), "abs", "cluster")
+    return rounded(found.withColumnRenamed("score", "nes"), "nes").select("cluster", "feature", "nes", "rank")
+
+
+@query(f"WITH {VERSUS}, e AS (SELECT cluster % 3 AS network, feature, avg(nes) AS m FROM tt GROUP BY 1, 2) SELECT feature, count(*) AS n_networks, round(avg(m), 6) AS mean FROM e GROUP BY 1")
+def mean_of_network_means(spark, sf):
+    rows = versus_farthest(spark, sf).select((F.col("cluster") % 3).alias("network"), "feature", F.col("nes").alias("score"))
+    return rounded(ranking.mean_of_means(rows), "mean")
+
+
 @query(f"WITH {RUNS} SELECT label AS cluster_a, cluster AS cluster_b, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM embeddings JOIN runs ON vec_id = sample AND run = 0 GROUP BY 1, 2")
 def cluster_contingency(spark, sf):
     own = arrays(spark, sf).select("sample", F.col("label").alias("cluster"))
@@ -541,7 +602,9 @@ def smote(spark, sf):
 
 # Classifier sweeps
 
-SIZES = [2, 3, 5, 8, 13, 20]
+#: All prefix sizes up to 50, so that a rule that stops at the first failure sees each; and a few for the slower methods.
+SIZES = list(range(2, 51))
+FEW_SIZES = [2, 3, 5, 8, 13, 20]
 
 
 def sweep_inputs(spark, sf):
@@ -581,7 +644,7 @@ def sweep_selected_size(spark, sf):
 
 def only_test(spark, sf, method):
     matrix, folds, ranks = sweep_inputs(spark, sf)
-    found = classify.sweep(matrix, folds.where("kind = 'test'"), ranks.where("kind = 'test'"), SIZES, method)
+    found = classify.sweep(matrix, folds.where("kind = 'test'"), ranks.where("kind = 'test'"), SIZES if method == "lda" else FEW_SIZES, method)
     return ranking.auc(found, "kind", "n_features")
 
 
@@ -600,6 +663,14 @@ def sweep_forest(spark, sf):
     return only_test(spark, sf, "forest")
 
 
+@query()
+def held_out_test(spark, sf):
+    """Areas on held-out samples of the features that the folds have voted for."""
+    from tessella.jobs import workflows
+
+    return workflows.select_features(long(spark, sf).select("sample", "feature", "value"), members(spark, sf))["final"]
+
+
 # Clusters
 
 
@@ -612,6 +683,17 @@ def pca(spark, sf):
     return first_components(spark, sf).select("sample", F.posexplode("values").alias("component", "value"))
 
 
+@query()
+def consensus_clusters(spark, sf):
+    """Co-association of seeded runs of subsampling, choosing variable features, and clustering."""
+    return consensus.coassociation(clusters.consensus_runs(arrays(spark, sf).select("sample", "values"), 20, 0.8, 10, 7))
+
+
+@query()
+def consensus_run_labels(spark, sf):
+    return clusters.consensus_runs(arrays(spark, sf).select("sample", "values"), 20, 0.8, 10, 7)
+
+
 @query()
 def pam(spark, sf):
     return clusters.best_medoid_clusters(statistics.distances(arrays(spark, sf), "euclid"), list(range(2, 13)))

@@ -24,7 +24,7 @@ class Settings:
     folds: int = 5
     holdout: float = 0.25
     replicates: int = 5
-    sizes: tuple[int, ...] = (2, 3, 5, 8, 13, 20)
+    sizes: tuple[int, ...] = tuple(range(2, 51))
     method: str = "lda"
     threshold: float = 0.05
     order: str = "abs"

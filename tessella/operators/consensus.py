@@ -89,6 +89,13 @@ def farthest(dist: DataFrame, n: int) -> DataFrame:
     return dist.where("ci <> cj").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def cluster_members(clusters: DataFrame, far: DataFrame) -> DataFrame:
+    """(cluster, sample, grp): group 1 are a cluster's samples, group 2 those of the clusters that far (ci, cj) names for it."""
+    own = clusters.select("cluster", "sample", F.lit(1).alias("grp"))
+    others = far.select(F.col("ci").alias("of"), F.col("cj").alias("cluster")).join(clusters.select("cluster", "sample"), "cluster")
+    return own.unionByName(others.select(F.col("of").alias("cluster"), "sample", F.lit(2).alias("grp")))
+
+
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
     """(cluster_a, cluster_b, n, share of cluster_a) of two assignments (sample, cluster)."""
     both = a.select("sample", F.col("cluster").alias("cluster_a")).join(b.select("sample", F.col("cluster").alias("cluster_b")), "sample")

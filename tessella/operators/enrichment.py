@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.scalars import average_rank, normal_quantile
+from tessella.operators.resampling import permuted_labels
 
 
 def pruned(network: DataFrame, most: int) -> DataFrame:
@@ -49,3 +50,24 @@ def correlation_network(matrix: DataFrame, parts: int = 1) -> DataFrame:
     pairs = pairs.select("network_id", F.col("a.feature").alias("regulator"), F.col("b.feature").alias("target"), F.col("a.value").alias("p"), F.col("b.value").alias("q"))
     found = pairs.where("regulator <> target").groupBy("network_id", "regulator", "target").agg(F.corr("p", "q").alias("tfmode"))
     return found.select("network_id", "regulator", "target", "tfmode", F.abs("tfmode").alias("likelihood"))
+
+
+def group_signature(matrix: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """(sample, feature, value): Welch's t of group 1 against group 2 of members (key, sample, grp), with the key as sample."""
+    of = lambda g, f: f(F.when(F.col("grp") == g, F.col("value")))
+    rows = matrix.join(members.select(key, F.col("sample").alias("member"), "grp"), F.col("sample") == F.col("member"))
+    m = rows.groupBy(key, "feature").agg(*[of(g, f).alias(f"{name}{g}") for g in (1, 2) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    spread = F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")
+    return m.where(spread > 0).select(F.col(key).alias("sample"), "feature", ((F.col("m1") - F.col("m2")) / F.sqrt(spread)).alias("value"))
+
+
+def activity_against_null(matrix: DataFrame, members: DataFrame, network: DataFrame, count: int, seed: int | str) -> DataFrame:
+    """(network_id, regulator, nes, null_mean, null_sd, z): activity of the signature of group 1 against group 2, and how
+    many standard deviations it lies from that of `count` signatures of permuted labels. The replicate is a key beside the
+    features; replicate 0 has the true labels. z is null where the null has no spread."""
+    permuted = permuted_labels(members, count, seed).select("replicate", "sample", F.col("pseudo").alias("grp"))
+    labels = members.select(F.lit(0).alias("replicate"), "sample", "grp").unionByName(permuted)
+    found = activity(group_signature(matrix, labels, "replicate"), network)
+    null = lambda f: f(F.when(F.col("sample") > 0, F.col("nes")))
+    out = found.groupBy("network_id", "regulator").agg(F.max(F.when(F.col("sample") == 0, F.col("nes"))).alias("nes"), null(F.avg).alias("null_mean"), null(F.stddev_samp).alias("null_sd"))
+    return out.withColumn("z", (F.col("nes") - F.col("null_mean")) / F.when(F.col("null_sd") > 0, F.col("null_sd")))

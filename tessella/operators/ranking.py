@@ -33,6 +33,13 @@ def rank_sums(scores: DataFrame) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(Window.orderBy("rank_sum", "feature")))
 
 
+def mean_of_means(scores: DataFrame, *keys: str) -> DataFrame:
+    """(keys, feature, n_networks, mean) of scores (keys, network, feature, score): the mean over networks of each one's mean,
+    so that a network with more scores weighs no more."""
+    each = scores.groupBy(*keys, "network", "feature").agg(F.avg("score").alias("m"))
+    return each.groupBy(*keys, "feature").agg(F.count("*").alias("n_networks"), F.avg("m").alias("mean"))
+
+
 def auc(predictions: DataFrame, *keys: str) -> DataFrame:
     """(keys, n_pos, n_neg, auc) of predictions (keys, truth 0/1, score), by rank sums; null where a class is absent."""
     rows = predictions.withColumn("r", average_rank(F.col("score"), *keys))

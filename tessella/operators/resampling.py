@@ -21,6 +21,23 @@ def ordered(members: DataFrame, seed: int | str, *keys: str) -> DataFrame:
     return members.withColumn("rn", F.row_number().over(w.orderBy(hashed, "sample"))).withColumn("n", F.count(F.lit(1)).over(w))
 
 
+def numbered(members: DataFrame, seed: int | str) -> DataFrame:
+    """members with rn, the place of a sample in the hashed order of all, and n, their number. The order is cut at the first
+    three digits of the hash, each of the 4,096 parts is numbered by itself and begins where those before it end."""
+    hashed = members.withColumn("_hash", draw_key(seed, F.lit(0), "sample")).withColumn("_part", F.substring("_hash", 1, 3))
+    sizes = hashed.groupBy("_part").agg(F.count("*").alias("size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over the 4,096 sizes only
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = sizes.select("_part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_before"), F.sum("size").over(whole).alias("n"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_hash", "sample"))
+    return hashed.join(F.broadcast(starts), "_part").withColumn("rn", F.col("_before") + within).drop("_hash", "_part", "_before")
+
+
+def pick(n: Column, seed: str, *columns: str) -> Column:
+    """A hashed number from 1 to n."""
+    return F.pmod(F.conv(F.substring(draw_key(seed, *columns), 1, 8), 16, 10).cast("long"), n) + 1
+
+
 def folds_of(members: DataFrame, count: int) -> DataFrame:
     return members.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(count))))
 
@@ -31,13 +48,13 @@ def roles(rows: DataFrame, valid: Column, *more: str) -> DataFrame:
 
 def k_fold(members: DataFrame, k: int, seed: int | str) -> DataFrame:
     """Validation sets of n div k samples that do not overlap; the n mod k samples left over are only trained on."""
-    rows = folds_of(ordered(members.withColumn("one", F.lit(0)), seed, "one"), k)
+    rows = folds_of(numbered(members, seed), k)
     return roles(rows, F.floor((F.col("rn") - 1) / F.floor(F.col("n") / k)) + 1 == F.col("fold"))
 
 
 def leave_one_out(members: DataFrame, seed: int | str) -> DataFrame:
     """As many folds as samples. The rows are quadratic in the samples, as the scheme is."""
-    rows = ordered(members.withColumn("one", F.lit(0)), seed, "one")
+    rows = numbered(members, seed)
     rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return roles(rows, F.col("rn") == F.col("fold"))
 
@@ -55,6 +72,30 @@ def k_fold_balanced(members: DataFrame, k: int, seed: int | str) -> DataFrame:
     return roles(rows, F.floor((F.col("rn") - 1) / F.floor(F.col("m") / k)) + 1 == F.col("fold"))
 
 
+def k_fold_oversampled(members: DataFrame, k: int, seed: int | str) -> DataFrame:
+    """k folds of each group (n div k samples each, what is left over is only trained on); in each fold training samples of
+    the smaller group are drawn again, with replacement, up to the larger one's number. copy_no is 0 for the samples
+    themselves and counts the draws; what is validated is never drawn."""
+    rows = folds_of(ordered(members, seed, "grp"), k).withColumn("size", F.floor(F.col("n") / k))
+    valid = F.floor((F.col("rn") - 1) / F.col("size")) + 1 == F.col("fold")
+    place = F.when(F.col("rn") <= (F.col("fold") - 1) * F.col("size"), F.col("rn")).otherwise(F.col("rn") - F.col("size"))
+    rows = rows.select("fold", F.when(valid, "valid").otherwise("train").alias("role"), "grp", "sample", place.cast("long").alias("place"))
+    train = rows.where("role = 'train'")
+    sizes = train.groupBy("fold", "grp").agg(F.count("*").alias("own"))
+    short = sizes.withColumn("most", F.max("own").over(Window.partitionBy("fold"))).where("own < most")
+    draws = short.withColumn("copy_no", F.explode(F.expr("sequence(1, cast(most - own as int))")))
+    draws = draws.select("fold", "grp", "copy_no", pick(F.col("own"), f"{seed}o", "fold", "grp", "copy_no").alias("place"))
+    more = draws.join(train, ["fold", "grp", "place"]).select("fold", "role", "grp", "sample", "copy_no")
+    return rows.select("fold", "role", "grp", "sample", F.lit(0).alias("copy_no")).union(more)
+
+
+def three_way(members: DataFrame, test: float, valid: float, seed: int | str) -> DataFrame:
+    """(sample, grp, role): of each group floor(n * test) samples to test, floor(n * valid) to validate, the rest to train."""
+    rows, first = ordered(members, seed, "grp"), F.floor(F.col("n") * F.lit(test))
+    role = F.when(F.col("rn") <= first, "test").when(F.col("rn") <= first + F.floor(F.col("n") * F.lit(valid)), "valid").otherwise("train")
+    return rows.select("sample", "grp", role.alias("role"))
+
+
 def monte_carlo_balanced(members: DataFrame, count: int, fraction: float, seed: int | str) -> DataFrame:
     """Per fold and group floor(m * fraction) samples to validate and m less that to train, without replacement."""
     rows = ordered(folds_of(balanced_size(members), count), seed, "fold", "grp").where(F.col("rn") <= F.col("m"))
@@ -63,17 +104,16 @@ def monte_carlo_balanced(members: DataFrame, count: int, fraction: float, seed:
 
 def monte_carlo_with_replacement(members: DataFrame, count: int, fraction: float, seed: int | str) -> DataFrame:
     """Per fold floor(n * fraction) draws to validate, and n less that draws from the samples not drawn, with replacement."""
-    rows = ordered(members.withColumn("one", F.lit(0)), seed, "one").select("sample", "grp", "rn", "n")
+    rows = numbered(members, seed).select("sample", "grp", "rn", "n")
     total = rows.agg(F.count("*").alias("n"))
     size = F.floor(F.col("n") * F.lit(fraction))
     draws = total.select("n", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("fold"), size.cast("int").alias("size"))
-    pick = lambda salt, n: F.pmod(F.conv(F.substring(draw_key(f"{seed}{salt}", "fold", "copy_no"), 1, 8), 16, 10).cast("long"), n) + 1
-    valid = draws.where("size > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("size")))).withColumn("rn", pick("v", F.col("n")))
+    valid = draws.where("size > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("size")))).withColumn("rn", pick(F.col("n"), f"{seed}v", "fold", "copy_no"))
     drawn = valid.select("fold", "rn").distinct()
     rest = folds_of(rows.select("rn"), count).join(drawn, ["fold", "rn"], "left_anti")
     w = Window.partitionBy("fold")
     rest = rest.withColumn("place", F.row_number().over(w.orderBy("rn"))).withColumn("left", F.count(F.lit(1)).over(w))
-    train = draws.withColumn("copy_no", F.explode(F.expr("sequence(1, cast(n - size as int))"))).join(rest.select("fold", "left").distinct(), "fold").withColumn("place", pick("t", F.col("left")))
+    train = draws.withColumn("copy_no", F.explode(F.expr("sequence(1, cast(n - size as int))"))).join(rest.select("fold", "left").distinct(), "fold").withColumn("place", pick(F.col("left"), f"{seed}t", "fold", "copy_no"))
     train = train.join(rest.select("fold", "place", "rn"), ["fold", "place"])
     both = valid.select("fold", F.lit("valid").alias("role"), "rn", "copy_no").union(train.select("fold", F.lit("train"), "rn", "copy_no"))
     return both.join(rows.select("rn", "grp", "sample"), "rn").select("fold", "role", "grp", "sample", "copy_no")
@@ -122,3 +162,12 @@ def subsampled_runs(samples: DataFrame, runs: int, fraction: float, seed: int |
     """(run, sample): round(fraction * n) samples, half to even, for each run."""
     rows = samples.select("sample").withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     return ordered(rows, seed, "run").where(F.col("rn") <= F.bround(F.col("n") * F.lit(fraction))).select("run", "sample")
+
+
+def drawn_runs(samples: DataFrame, runs: int, fraction: float, seed: int | str) -> DataFrame:
+    """(run, copy_no, sample): round(fraction * n) draws with replacement, half to even, for each run."""
+    rows = numbered(samples.select("sample"), seed)
+    each = rows.agg(F.count("*").alias("n")).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).repartition("run")
+    draws = each.withColumn("size", F.bround(F.col("n") * F.lit(fraction)).cast("int")).where("size > 0")
+    draws = draws.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("size"))))
+    return draws.select("run", "copy_no", pick(F.col("n"), f"{seed}r", "run", "copy_no").alias("rn")).join(rows.select("rn", "sample"), "rn").select("run", "copy_no", "sample")

@@ -1,5 +1,6 @@
 """Properties that hold for any data: folds, distributions, areas, neighbours, clusters, selections."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -312,3 +313,51 @@ def test_principal_components_against_svd(spark):
     want = u[:, :2] * s[:2] * [1 if vt[i][np.abs(vt[i]).argmax()] > 0 else -1 for i in range(2)]
     got = np.array([r["coord"] for r in clusters.principal_components(rows, 2).orderBy("sample").collect()])
     assert np.allclose(got, want, atol=1e-8)
+
+
+def brute_runs(values, members, features, k, seed, iterations):
+    """k-means of one run, as consensus_runs describes it."""
+    x = {s: np.array([values[s][i] for i in features]) for s in members}
+    order = sorted(members, key=lambda s: (hashlib.md5(f"{seed}centre|1|{s}".encode()).hexdigest(), s))
+    centres = {p + 1: x[s] for p, s in enumerate(order[:k])}
+    nearest = lambda v: min(centres, key=lambda p: (((v - centres[p]) ** 2).sum(), p))
+    for _ in range(iterations):
+        at = {s: nearest(v) for s, v in x.items()}
+        centres = {p: np.mean([x[s] for s in x if at[s] == p], axis=0) for p in set(at.values())}
+    return {s: nearest(v) for s, v in x.items()}
+
+
+def test_consensus_runs_against_a_loop(spark):
+    rng = random.Random(5)
+    values = {i: [rng.gauss(3 * (i % 3) * (j < 4), 1) * (1 + j % 5) for j in range(12)] for i in range(60)}
+    rows = spark.createDataFrame(list(values.items()), "sample long, values array<double>")
+    members = spark.createDataFrame([(1, i) for i in range(60) if i % 7], "run int, sample long")
+    got = {r["sample"]: r["cluster"] for r in clusters.consensus_runs(rows, 1, 1.0, 3, 9, (0.3, 0.3), 4, members).collect()}
+    mine = [i for i in values if i % 7]
+    spread = sorted(range(12), key=lambda j: (-np.var([values[i][j] for i in mine], ddof=1), j))
+    assert got == brute_runs(values, mine, sorted(spread[:4]), 3, 9, 4)
+    many = clusters.consensus_runs(rows, 4, 0.8, 3, 9).collect()
+    assert {r["run"] for r in many} == {1, 2, 3, 4} and len(many) == 4 * 48 and {r["cluster"] for r in many} <= {1, 2, 3}
+
+
+def test_enrichment_null_is_that_of_permuted_labels(spark):
+    rng = random.Random(6)
+    matrix = spark.createDataFrame([(s, f, rng.gauss(2 * (s < 12) * (f < 5), 1)) for s in range(24) for f in range(12)], "sample long, feature int, value double")
+    members = spark.createDataFrame([(s, 1 if s < 12 else 2) for s in range(24)], "sample long, grp int")
+    network = spark.createDataFrame([(0, 100, f, 1.0, 1.0) for f in range(5)] + [(0, 101, f, 1.0, 1.0) for f in range(7, 12)], "network_id int, regulator int, target int, tfmode double, likelihood double")
+    got = {r["regulator"]: r for r in enrichment.activity_against_null(matrix, members, network, 40, 3).collect()}
+    null = resampling.permuted_labels(members, 40, 3).select("replicate", "sample", F.col("pseudo").alias("grp"))
+    by = {}
+    for r in enrichment.activity(enrichment.group_signature(matrix, null, "replicate"), network).collect():
+        by.setdefault(r["regulator"], []).append(r["nes"])
+    for k, r in got.items():
+        assert abs(r["null_mean"] - np.mean(by[k])) < 1e-9 and abs(r["z"] - (r["nes"] - np.mean(by[k])) / np.std(by[k], ddof=1)) < 1e-9
+    assert got[100]["z"] > 1 > 0 > got[101]["z"]
+
+
+def test_numbering_is_that_of_one_window(spark):
+    rows = spark.createDataFrame([(i, 1) for i in range(500)], "sample long, grp int")
+    got = {r["sample"]: (r["rn"], r["n"]) for r in resampling.numbered(rows, 7).collect()}
+    order = sorted(range(500), key=lambda s: (hashlib.md5(f"7|0|{s}".encode()).hexdigest(), s))
+    assert got == {s: (i + 1, 500) for i, s in enumerate(order)}
+    assert resampling.numbered(rows.limit(0), 7).count() == 0
