@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessella.llm import licences, queries, roles
 
@@ -257,3 +259,21 @@ def test_pipeline_stages_keep_columns_and_pack_all(spark):
     assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} == kept
     whole = corpus_pipeline.run(spark, sf)
     assert whole.groupBy().sum("length").first()[0] == docs.groupBy().sum("length").first()[0]
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    """Nulls, empty and long texts, repeated rows, columns of names that the stages use, and an empty table."""
+    sf = "/root/testdata/sf0.001"
+    long = " ".join(f"w{i}" for i in range(9000))
+    rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "some words of a text without an id"), (5, long), (6, long + " more"), (7, " \n "), (8, "x" * 20000)]
+    docs = spark.createDataFrame([(d, t, None, "s" if d else None, 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(3) for c in ("label", "score", "text_id", "hits", "kept_id", "spans", "mark", "row", "words", "fingerprint", "bucket", "_digest")})
+    for start in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            found = stage(spark, start, sf)
+            assert name == "packing" or found.columns == docs.columns
+            assert 0 < found.count() <= 9 * (1 if name != "packing" else 100) if start is docs else found.count() == 0
+        quality = corpus_pipeline.STAGES[0][1](spark, start, sf)
+        assert quality.columns == docs.columns and quality.count() <= 9
+    near = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()}
+    assert near == {1, 3, 5, 8, None}
