@@ -6,15 +6,18 @@ turn before it (the roles may differ, then the merge also costs a relabelling);
 between, an empty one is inserted. The cheapest whole repair is taken; among equally cheap ones the first in the order
 of the choices below. The repaired turns are rendered with role marks.
 
-Turns are cut into blocks of `BLOCK` turn numbers. The costs of all ways through a block, by the state before and after
-it, are one small matrix; matrices are combined in the (min, +) sense along a conversation, which gives the states at
-the ends of each block, and then each block is repaired by itself. So a conversation as long as you like is repaired by
-many tasks, and what meets in one task is a block's turns, or one small matrix for each block.
-
-Turns are ordered by (turn, role, text). Nulls: a null role is an unknown role, relabelled; a null text is empty; a null
-turn comes last, in the conversation's last block; a null conv_id is a conversation of its own. Unknown roles are any
-other strings; names that mean a known role (`ALIASES`) count as it. Repeated rows are turns of their own.
-An empty table gives no rows.
+A conversation's turns are numbered in their order and cut into blocks of `BLOCK`. The costs of all ways through a block,
+by the state before and after it, are one small matrix; matrices are combined in the (min, +) sense, first those of
+`GROUP` blocks and then those of the groups, which gives the states at the ends of each, and then each block is repaired
+by itself. So a conversation as long as you like is repaired by many tasks, and what meets in one task is a block's
+turns, a group's matrices, or one matrix for each group.
+
+Numbers come from a sort of all turns by ranges, which cuts through conversations where they are long: turns are counted
+within each range, and a range that begins inside a conversation adds what the ranges before it have of that one.
+
+Turns are ordered by (turn, role, hash of role and text). Nulls: a null role is an unknown role, relabelled; a null text
+is empty; a null turn comes last; all turns of a null conv_id are one conversation. Unknown roles are any other strings;
+names that mean a known role (`ALIASES`) count as it. Repeated rows are turns of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import small_batches, stored
 
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "customer": "user", "bot": "assistant", "ai": "assistant", "model": "assistant", "gpt": "assistant"}
@@ -36,7 +40,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, RELABEL, INSERT = 2, 3, 4
 FAR = 1 << 40
-BLOCK = 1024
+#: Turns in a block, and blocks in a group.
+BLOCK, GROUP = 1024, 1024
 LAST = 1 << 50
 OPEN, CLOSE = "<|im_start|>{}\n", "<|im_end|>\n"
 
@@ -60,10 +65,13 @@ INSERTIONS = shortest_insertions()
 ENDINGS = {s: () if s == ASSISTANT else (*INSERTIONS[s, ASSISTANT], ASSISTANT) for s in range(4)}
 
 
-def known_role(role: str | None) -> int:
-    role = (role or "").strip().lower()
-    role = ALIASES.get(role, role)
-    return ROLES.index(role) + 1 if role in ROLES else -1
+def known_role(role: Column) -> Column:
+    """The number of a role, -1 for unknown ones."""
+    name = F.lower(F.regexp_replace(F.coalesce(role, F.lit("")), r"^\s+|\s+$", ""))
+    number = F.lit(-1)
+    for i, known in enumerate(ROLES, 1):
+        number = F.when(name.isin(known, *(a for a, r in ALIASES.items() if r == known)), i).otherwise(number)
+    return number.cast("int")
 
 
 def moves(state: int, role: int) -> Iterator[tuple[int, int, str]]:
@@ -79,22 +87,49 @@ def moves(state: int, role: int) -> Iterator[tuple[int, int, str]]:
 MOVES = {(s, r): list(moves(s, r)) for s in range(4) for r in (-1, 1, 2, 3)}
 
 
-def matrix(roles: list[int]) -> np.ndarray:
-    """Least costs through turns of these roles, by state before and after."""
+def through_turn(role: int) -> np.ndarray:
+    """Least costs through a turn of this role, by state before and after."""
+    cost = np.full((4, 4), FAR, np.int64)
+    for s in range(4):
+        for t, c, _ in MOVES[s, role]:
+            cost[s, t] = min(cost[s, t], c)
+    return cost
+
+
+THROUGH = {r: through_turn(r) for r in (-1, 1, 2, 3)}
+
+
+def combined(matrices: list[np.ndarray]) -> np.ndarray:
+    """Least costs through all of these, one after the other."""
     cost = np.full((4, 4), FAR, np.int64)
     np.fill_diagonal(cost, 0)
-    for role in roles:
-        after = np.full((4, 4), FAR, np.int64)
-        for s in range(4):
-            for t, c, _ in MOVES[s, role]:
-                after[:, t] = np.minimum(after[:, t], cost[:, s] + c)
-        cost = after
+    for m in matrices:
+        cost = np.minimum((cost[:, :, None] + m).min(1), FAR)
     return cost
 
 
-def repair(roles: list[int], begin: int, end: int) -> list[tuple[int, str, tuple[int, ...]]]:
-    """The cheapest way from state to state: for each turn its state, action and the roles inserted before it."""
-    ahead = [[0 if s == end else FAR for s in range(4)]]
+def states_between(matrices: list[np.ndarray], begin: int, end: int | None) -> list[tuple[int, int]]:
+    """The states before and after each matrix on the cheapest way from begin to end (None: to a legal ending)."""
+    ahead = [ending_costs(end)]
+    for m in reversed(matrices):
+        ahead.append(np.minimum((m + ahead[-1]).min(1), FAR))
+    ahead.reverse()
+    out, state = [], begin
+    for i, m in enumerate(matrices):
+        after = int((m[state] + ahead[i + 1]).argmin())
+        out.append((state, after))
+        state = after
+    return out
+
+
+def ending_costs(end: int | None) -> np.ndarray:
+    return np.array([INSERT * len(ENDINGS[s]) if end is None else 0 if s == end else FAR for s in range(4)], np.int64)
+
+
+def repair(roles: list[int], begin: int, end: int | None) -> list[tuple[int, str, tuple[int, ...]]]:
+    """The cheapest way from state to state (None: to a legal ending): for each turn its state, action and the roles
+    inserted before it."""
+    ahead = [ending_costs(end).tolist()]
     for role in reversed(roles):
         ahead.append([min((c + ahead[-1][t] for t, c, _ in MOVES[s, role]), default=FAR) for s in range(4)])
     ahead.reverse()
@@ -108,12 +143,38 @@ def repair(roles: list[int], begin: int, end: int) -> list[tuple[int, str, tuple
     return out
 
 
+def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (conv_id, role, text) with their task and their place among the conversation's rows in it."""
+    part, key, seen = TaskContext.get().partitionId(), None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+        ids, index = b.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.arange(b.num_rows)
+        new = np.append(key != (ids[0], null[0]), (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]))
+        begin = np.maximum.accumulate(np.where(new, index, -seen if not new[0] else 0))
+        at = index - begin
+        key, seen = (ids[-1], null[-1]), int(at[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(at.astype(np.int64))], ["conv_id", "role", "text", "part", "at"])
+
+
 def numbered(turns: DataFrame) -> DataFrame:
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(LAST))
-    return turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.when(turn == LAST, F.lit(LAST)).otherwise(F.floor(turn / BLOCK)).cast("long").alias("block"),
-        turn.alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+    """(conv_id, block, at, role, text): the turns with their numbers in the conversation, from 0, and these's blocks."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(LAST)).alias("turn"), known_role(F.col("role")).alias("role"),
+        F.xxhash64(F.coalesce(F.col("role"), F.lit("")), text).alias("mark"), F.monotonically_increasing_id().alias("row"), text.alias("text"),
     )
+    order = ["conv_id", "turn", "role", "mark", "row"]
+    by_range = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text")
+    placed = stored(by_range.mapInArrow(places, "conv_id long, role int, text string, part int, at long"), "turns")
+    # Only the conversation that a range begins with can have turns before it, so there is a row a range at most.
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    earlier = counts.select(F.col("conv_id").alias("of"), F.col("part").alias("begun"), before.alias("before")).where("before > 0")
+    both = placed.join(F.broadcast(earlier), (F.col("part") == F.col("begun")) & F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    at = F.col("at") + F.coalesce("before", F.lit(0))
+    return both.select("conv_id", at.alias("at"), "role", "text").select("conv_id", F.expr(f"at div {BLOCK}").alias("block"), "at", "role", "text")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -130,57 +191,70 @@ def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[t
         yield key, rows
 
 
+def batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def square(costs: list[int]) -> np.ndarray:
+    return np.array(costs, np.int64).reshape(4, 4)
+
+
+def block_states(rows: DataFrame) -> DataFrame:
+    """(conv_id, block, begin, end, last) of the blocks of conversations that fill one: the states at their ends."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("at", "role"))), lambda x: x["role"])
+    full = rows.groupBy("conv_id", "block").agg(turns.alias("items")).where((F.col("block") > 0) | (F.size("items") == BLOCK))
+
+    def products(name: str, of) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [(conv, at, combined([of(x) for x in items]).ravel().tolist()) for conv, at, items in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+                if out:
+                    yield batch(out, [pa.int64(), pa.int64(), pa.list_(pa.int64())], ["conv_id", name, "costs"])
+
+        return run
+
+    blocks = stored(full.mapInArrow(products("block", THROUGH.__getitem__), "conv_id long, block long, costs array<long>"), "turn-costs")
+    lists = blocks.groupBy("conv_id", F.expr(f"block div {GROUP}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("block", "costs"))).alias("items"))
+    matrices = lists.select("conv_id", "part", F.transform("items", lambda x: x["costs"]).alias("items"))
+    groups = matrices.mapInArrow(products("part", square), "conv_id long, part long, costs array<long>")
+    tops = groups.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "costs"))).alias("items"))
+    tops = tops.select("conv_id", "items", F.lit(START).alias("begin"), F.lit(None).cast("int").alias("end"), F.lit(True).alias("last"))
+
+    def ends(name: str) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for conv, items, begin, end, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    found = states_between([square(x["costs"]) for x in items], begin, end)
+                    out += [(conv, x[name], s, t, last and i == len(items) - 1) for i, (x, (s, t)) in enumerate(zip(items, found, strict=True))]
+                if out:
+                    yield batch(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()], ["conv_id", name, "begin", "end", "last"])
+
+        return run
+
+    of_parts = tops.mapInArrow(ends("part"), "conv_id long, part long, begin int, end int, last boolean")
+    same = lists["conv_id"].eqNullSafe(of_parts["conv_id"]) & (lists["part"] == of_parts["part"])
+    return lists.join(of_parts, same).select(lists["conv_id"], "items", "begin", "end", "last").mapInArrow(ends("block"), "conv_id long, block long, begin int, end int, last boolean")
+
+
 REPAIRED = "conv_id long, block long, n_turns int, cost long, n_merged int, n_relabelled int, n_inserted int, rendered string"
 
 
 def repaired(turns: DataFrame) -> DataFrame:
     """One row for each block of a conversation of turns (conv_id, turn, role, text); `rendered` of the blocks, in their
-    order, is the whole conversation. Conversations within `BLOCK` turn numbers have one block."""
+    order, is the whole conversation. Conversations of up to `BLOCK` turns have one block."""
     small_batches(turns.sparkSession)
     rows = numbered(turns)
-    order = ["conv_id", "block", "turn", "role", "text"]
-
-    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (conv, block), found in grouped(batches, 4):
-            out.append((conv, block, matrix([known_role(r) for _, r in found]).ravel().tolist()))
-            if len(out) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["conv_id", "block", "costs"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["conv_id", "block", "costs"])
-
-    by_block = rows.repartition("conv_id", "block")
-    through = by_block.select(*order[:4], "text").sortWithinPartitions(*order).select(*order[:4]).mapInArrow(costs, "conv_id long, block long, costs array<long>")
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for conv, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                table = [(x["block"], np.array(x["costs"], np.int64).reshape(4, 4)) for x in sorted(blocks, key=lambda x: x["block"])]
-                ahead = [np.array([INSERT * len(ENDINGS[s]) for s in range(4)], np.int64)]
-                for _, m in reversed(table):
-                    ahead.append((m + ahead[-1]).min(1))
-                ahead.reverse()
-                state = START
-                for i, (block, m) in enumerate(table):
-                    after = int((m[state] + ahead[i + 1]).argmin())
-                    out.append((conv, block, state, after, i == len(table) - 1))
-                    state = after
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["conv_id", "block", "begin", "end", "last"])
-
-    lists = through.groupBy("conv_id").agg(F.collect_list(F.struct("block", "costs")).alias("blocks"))
-    states = lists.mapInArrow(ends, "conv_id long, block long, begin int, end int, last boolean")
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         names = [c.split()[0] for c in REPAIRED.split(", ")]
-        out = []
+        out, size = [], 0
         for (conv, block), found in grouped(batches, 8):
-            roles = [known_role(r) for _, r, _, _, _, _ in found]
-            begin, end, last = found[0][3:]
+            at, _, _, *ends = found[0]
+            begin, end, last = ends if at < 0 else (START, None, True)
+            found = found[at < 0 :]
+            roles = [role for _, role, *_ in found]
             cost = merged = relabelled = inserted = 0
             parts, state, opened = [], begin, begin != START
             for (_, _, text, *_), role, (after, action, between) in zip(found, roles, repair(roles, begin, end), strict=True):
@@ -208,15 +282,17 @@ def repaired(turns: DataFrame) -> DataFrame:
                 cost += INSERT * len(ENDINGS[state])
                 parts.append(CLOSE)
             out.append((conv, block, len(found), cost, merged, relabelled, inserted, "".join(parts)))
-            if len(out) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                out = []
+            size += len(out[-1][-1])
+            if len(out) >= 2000 or size >= 1 << 24:
+                yield batch(out, kinds, names)
+                out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            yield batch(out, kinds, names)
 
-    same = rows["conv_id"].eqNullSafe(states["conv_id"]) & (rows["block"] == states["block"])
-    both = rows.join(states, same).select(rows["conv_id"], rows["block"], "turn", "role", "text", "begin", "end", "last")
-    return both.repartition("conv_id", "block").sortWithinPartitions(*order).mapInArrow(render, REPAIRED)
+    # A block's states come as a row before its turns, so that states and turns meet by one shuffle.
+    states = block_states(rows).select("conv_id", "block", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("role"), F.lit("").alias("text"), "begin", "end", "last")
+    both = rows.select("*", *(F.lit(None).cast(k).alias(c) for c, k in (("begin", "int"), ("end", "int"), ("last", "boolean")))).unionByName(states)
+    return both.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "at").mapInArrow(render, REPAIRED)
 
 
 def rendered_conversations(blocks: DataFrame) -> DataFrame:

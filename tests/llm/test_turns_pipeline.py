@@ -18,6 +18,12 @@ def turns(spark, rows):
     return spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA)
 
 
+def number(role):
+    role = (role or "").strip().lower()
+    role = roles.ALIASES.get(role, role)
+    return roles.ROLES.index(role) + 1 if role in roles.ROLES else -1
+
+
 def brute_cost(found):
     """Least cost by trying all choices for each turn, with insertions by breadth-first search."""
     best = None
@@ -46,7 +52,7 @@ def test_repair_against_all_choices(spark):
     rows = [(c, t, r, f"{c}.{t}") for c, found in conversations.items() for t, r in enumerate(found)]
     got = {r["conv_id"]: r for r in roles.repaired(turns(spark, rows)).collect()}
     for c, found in conversations.items():
-        assert got[c]["cost"] == brute_cost([roles.known_role(r) for r in found])
+        assert got[c]["cost"] == brute_cost([number(r) for r in found])
         assert all(f"{c}.{t}" in got[c]["rendered"] for t in range(len(found)))
         marks = [x.split("\n")[0] for x in got[c]["rendered"].split("<|im_start|>")[1:]]
         state = roles.START
@@ -61,12 +67,33 @@ def test_blocks_repair_like_the_whole(spark, monkeypatch):
     rows = [(c, t, rng.choice(["user", "assistant", "system", "x"]), f"<{t}>") for c in range(4) for t in range(50)]
     whole = {r["conv_id"]: r for r in roles.rendered_conversations(roles.repaired(turns(spark, rows))).collect()}
     monkeypatch.setattr(roles, "BLOCK", 7)
+    monkeypatch.setattr(roles, "GROUP", 3)
     parts = {r["conv_id"]: r for r in roles.rendered_conversations(roles.repaired(turns(spark, rows))).collect()}
     assert {c: r["cost"] for c, r in parts.items()} == {c: r["cost"] for c, r in whole.items()}
     for r in parts.values():
         assert r["rendered"].count("<|im_start|>") == r["rendered"].count("<|im_end|>") and all(f"<{t}>" in r["rendered"] for t in range(50))
 
 
+def test_one_turn_number_is_cut_into_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(c, 1, rng.choice(["user", "assistant", " User", "x", None]), f"<{i}>") for c in (None, 5) for i in range(400)]
+    rows += [(c, t, "user", "same") for c in (1, 9) for t in (0, None) for _ in range(40)]
+    whole = {r["conv_id"]: r for r in roles.rendered_conversations(roles.repaired(turns(spark, rows))).collect()}
+    monkeypatch.setattr(roles, "BLOCK", 8)
+    monkeypatch.setattr(roles, "GROUP", 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = roles.repaired(turns(spark, rows).repartition(5))
+        got = {r["conv_id"]: r for r in roles.rendered_conversations(blocks).collect()}
+        sizes = [(r["conv_id"], r["n_turns"]) for r in blocks.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(n for c, n in sizes if c is None) == [8] * 50 and sorted(n for c, n in sizes if c == 9) == [8] * 10
+    assert {c: (r["n_turns"], r["cost"]) for c, r in got.items()} == {c: (r["n_turns"], r["cost"]) for c, r in whole.items()}
+    for c in (None, 5):
+        assert re.findall("<[0-9]+>", got[c]["rendered"]) == re.findall("<[0-9]+>", whole[c]["rendered"]) and len(re.findall("<[0-9]+>", got[c]["rendered"])) == 400
+
+
 def test_legal_conversations_cost_nothing(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "User", "q"), (1, 2, "bot", "a"), (2, 5, "user", "q"), (2, 9, "assistant", None)]
     got = {r["conv_id"]: r for r in roles.repaired(turns(spark, rows)).collect()}
