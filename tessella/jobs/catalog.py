@@ -717,3 +717,11 @@ def cluster_transfer(spark, sf):
     folds = resampling.k_fold(rows.select("sample", F.lit(1).alias("grp")), 5, 7).where("fold = 1")
     part = lambda role: rows.join(folds.where(F.col("role") == role).select("sample"), "sample", "left_semi")
     return clusters.transferred(part("train"), own, part("valid"), 50)
+
+
+@query()
+def greedy_feature_addition(spark, sf):
+    """Features kept of each cluster's ranking against its farthest clusters, three cycles of forests of 20 trees."""
+    rows = arrays(spark, sf)
+    rankings = ranking.ranked(versus_farthest(spark, sf).withColumnRenamed("nes", "score"), "abs", "cluster")
+    return clusters.greedy_addition(rows, rows.select("sample", F.col("label").alias("cluster")), rankings, 3, 2, 20)

@@ -361,3 +361,21 @@ def test_numbering_is_that_of_one_window(spark):
     order = sorted(range(500), key=lambda s: (hashlib.md5(f"7|0|{s}".encode()).hexdigest(), s))
     assert got == {s: (i + 1, 500) for i, s in enumerate(order)}
     assert resampling.numbered(rows.limit(0), 7).count() == 0
+
+
+def test_greedy_addition_keeps_what_lowers_errors(spark):
+    rng = np.random.default_rng(4)
+    rows, own = [], []
+    for i in range(150):
+        c = i % 3
+        x = rng.normal(0, 1, 6)
+        x[0] += 20 * (c == 0)
+        x[2] += 20 * (c == 1)
+        rows.append((i, x.tolist()))
+        own.append((i, c))
+    frames = spark.createDataFrame(rows, "sample long, values array<double>"), spark.createDataFrame(own, "sample long, cluster int")
+    ranks = spark.createDataFrame([(c, f, r) for c, fs in enumerate([[0, 3], [1, 2], [4, 5]]) for r, f in enumerate(fs, 1)], "cluster int, feature int, rank int")
+    found = clusters.greedy_addition(*frames, ranks, 5, 2, 10)
+    # Cluster 0 has no error to lower; feature 2 parts the others, which lowers both their errors.
+    assert {tuple(r) for r in found.collect()} == {(1, 0, 0), (1, 1, 1), (1, 2, 4), (2, 1, 2), (2, 2, 5)}
+    assert clusters.greedy_addition(*frames, ranks.limit(0), 5, 2, 10).count() == 0
