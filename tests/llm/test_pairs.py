@@ -131,6 +131,37 @@ def test_compact_windows_cover_each_subsequence_once(values, least):
             assert len(inside) == 1 and h[inside[0][1]] == min(h[i : j + 1])
 
 
+@given(st.lists(st.text("aB \n\t\x1c\u00e9\u2003", max_size=9), max_size=6), st.integers(1, 4))
+@settings(max_examples=200, deadline=None)
+def test_word_hashes_know_words_wherever_they_are(texts, repeats):
+    data = (" ".join(texts) * repeats).encode()
+    words = data.lower().split()
+    hashes, starts = windows.word_hashes(data)
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words))
+    known = {w: int(windows.word_hashes(w)[0][0]) for w in set(words)}
+    assert hashes.tolist() == [known[w] for w in words]
+    assert all(data[i:].lower().startswith(w) for i, w in zip(starts.tolist(), words, strict=True))
+
+
+def test_word_hashes_of_texts_over_several_blocks():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(30_000)] + ["x" * 70_000, "y"]
+    hashes, _ = windows.word_hashes(" ".join(words).encode())
+    assert len(hashes) == len(words) > 3 and len(set(hashes.tolist())) == len(set(words))
+    assert [int(windows.word_hashes(w.encode())[0][0]) for w in words[-3:]] == hashes[-3:].tolist()
+    assert len(" ".join(words)) > 4 * windows.BLOCK
+
+
+def test_windows_of_texts_made_together_are_those_of_each():
+    rng = random.Random(8)
+    h = np.array([rng.randrange(50) for _ in range(3000)], np.uint64)
+    cuts = [0, 0, 1, 700, 700, 705, 2100, 2999, 3000, 3000]
+    first, past = np.array(cuts[:-1]), np.array(cuts[1:])
+    got = windows.tree_windows(h, first, past, 6)
+    want = [(a + i, a + c, a + j) for a, b in zip(first, past, strict=True) for i, c, j in windows.compact_windows(h[a:b], 6)]
+    assert sorted(map(tuple, got.tolist())) == sorted(want)
+
+
 def test_repetitive_texts_give_shallow_trees():
     h = np.zeros(200_000, np.uint64)
     h[1::2] = 7
@@ -278,8 +309,7 @@ def test_near_passages_against_all_pairs(spark):
         passage = text(rng.randint(50, 120))
         other = [w if rng.random() > 0.025 else text(1)[0] for w in passage]
         docs[2 * i], docs[2 * i + 1] = text(rng.randint(5, 60)) + passage + text(rng.randint(5, 60)), text(rng.randint(5, 60)) + other + text(rng.randint(5, 60))
-    known = windows.Words()
-    hashes = {k: known.hashes(" ".join(v)) for k, v in docs.items()}
+    hashes = {k: windows.word_hashes(" ".join(v).encode())[0] for k, v in docs.items()}
     brute = {(a, b) for a in docs for b in docs if a < b and windows.verified(hashes[a], hashes[b])}
     got = {r["doc_id"]: r["class_id"] for r in windows.sharing_documents(frame(spark, [(k, " ".join(v)) for k, v in docs.items()])).collect()}
     found = {(a, b) for a, b in brute if a in got and got[a] == got.get(b)}
