@@ -68,6 +68,7 @@ class PartEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
         as_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(as_byte[c] for c in token): i for token, i in vocabulary.items() if all(c in as_byte for c in token)}
+        self.ranks = ranks
         self.ids_of = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}  # words after a space, without it
         self.lines: dict[str, bytes] = {}  # words after a line end, without it
