@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import gif, index, langid, licences, packing, ppm, quality, roles, simhash, windows
+from tessella.llm import alignment, gif, index, langid, licences, minhash, packing, ppm, quality, roles, simhash, spelling, windows
 from tessella.llm.common import id_remainder, table
 
 
@@ -65,9 +65,22 @@ def op10_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_arrow_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_sums(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_role_repair, op2_licence_sentences, op3_gif_media, op4_compact_windows, op5_positional_index, op6_compression_quality, op7_simhash_bktree, op8_ppm_scores, op9_mixture_packing, op10_word_backoff_language)
+    for f in (op1_role_repair, op2_licence_sentences, op3_gif_media, op4_compact_windows, op5_positional_index, op6_compression_quality, op7_simhash_bktree, op8_ppm_scores, op9_mixture_packing, op10_word_backoff_language,
+              op11_arrow_alignment, op12_reduced_alphabet, op13_coordinate_join)
 }
 
 OP5_SQL = r"""
