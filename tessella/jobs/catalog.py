@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators import classify, clusters, consensus, enrichment, neighbours, ranking, resampling, sets, statistics
+from tessella.operators import classify, clusters, communities, consensus, dendrograms, enrichment, medoids, neighbours, ranking, resampling, sets, statistics
 from tessella.sources.tables import long_from_arrays, table, wide
 
 QUERIES: dict = {}
@@ -696,7 +696,68 @@ def consensus_run_labels(spark, sf):
 
 @query()
 def pam(spark, sf):
-    return clusters.best_medoid_clusters(statistics.distances(arrays(spark, sf), "euclid"), list(range(2, 13)))
+    """The k from 2 to 12 whose medoids give the best mean silhouette."""
+    return medoids.best_of(arrays(spark, sf).select("sample", "values"), list(range(2, 13))).select("sample", "cluster")
+
+
+@query()
+def medoid_consensus(spark, sf):
+    """Co-clustered by co-sampled runs of 10 medoids by Pearson's distance, each over 75 % of the samples and of the features."""
+    return consensus.coassociation(medoids.consensus_medoids(arrays(spark, sf).select("sample", "values"), dict.fromkeys(range(1, 51), 10), 0.75, 0.75, 7), per_sampled=True)
+
+
+@query()
+def medoid_consensus_cut(spark, sf):
+    """Ten clusters of average linkage over 1 less that share; pairs that no run has together in a cluster are 1 apart."""
+    rows = arrays(spark, sf)
+    shares = medoid_consensus(spark, sf).where("row_sample < col_sample").select(F.col("row_sample").alias("a"), F.col("col_sample").alias("b"), "norm")
+    dist = statistics.distances(rows, "euclid").select("a", "b").join(shares, ["a", "b"], "left").select("a", "b", (1 - F.coalesce("norm", F.lit(0.0))).alias("dist"))
+    return dendrograms.cut(dendrograms.merges(dist, "average"), rows, 10)
+
+
+@query()
+def medoid_runs_drawn_k(spark, sf):
+    """Labels of runs whose k is drawn from 10 to 12."""
+    return medoids.consensus_medoids(arrays(spark, sf).select("sample", "values"), medoids.drawn_ks(20, 10, 12, 7), 0.8, 1.0, 7, "euclid").select("run", "sample", "cluster")
+
+
+def neighbour_graph(spark, sf):
+    return consensus.shared_neighbours(neighbours.knn(arrays(spark, sf), 5)).withColumnRenamed("shared", "weight")
+
+
+@query()
+def graph_communities(spark, sf):
+    """Communities of the shared-neighbour graph by modularity."""
+    return communities.communities(neighbour_graph(spark, sf))
+
+
+@query(
+    f"""WITH {NEAR}, e AS (SELECT a.sample AS src, b.sample AS dst, count(*) AS w FROM nn a JOIN nn b ON a.neighbor = b.neighbor AND a.sample <> b.sample WHERE a.rank <= 5 AND b.rank <= 5 GROUP BY 1, 2),
+    p AS (SELECT x.label AS x, y.label AS y, w FROM e JOIN embeddings x ON x.vec_id = src JOIN embeddings y ON y.vec_id = dst),
+    c AS (SELECT x, sum(w) AS total, sum(CASE WHEN x = y THEN w ELSE 0 END) AS within FROM p GROUP BY 1)
+    SELECT count(*) AS communities, round(sum(within) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 6) AS modularity FROM c"""
+)
+def label_modularity(spark, sf):
+    """The modularity of the labels on the shared-neighbour graph."""
+    own = arrays(spark, sf).select("sample", F.col("label").alias("cluster"))
+    return rounded(communities.modularity(neighbour_graph(spark, sf), own), "modularity")
+
+
+@query()
+def dendrogram_ward(spark, sf):
+    return dendrograms.merges(statistics.distances(arrays(spark, sf), "euclid"), "ward")
+
+
+@query()
+def dendrogram_single(spark, sf):
+    return dendrograms.merges(statistics.distances(arrays(spark, sf), "euclid"), "single").select("a", "b", "height")
+
+
+@query()
+def dendrogram_average_cut(spark, sf):
+    """Ten clusters of average linkage."""
+    rows = arrays(spark, sf)
+    return dendrograms.cut(dendrograms.merges(statistics.distances(rows, "euclid"), "average"), rows, 10)
 
 
 @query()

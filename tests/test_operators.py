@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars
-from tessella.operators import classify, clusters, consensus, enrichment, neighbours, ranking, resampling, sets, statistics
+from tessella.operators import classify, clusters, consensus, enrichment, medoids, neighbours, ranking, resampling, sets, statistics
 from tessella.sources import tables
 
 
@@ -273,13 +273,14 @@ def test_normalised_counts(spark):
     assert all(len(v) == 1 for v in found.values())  # samples that differ by a factor become alike
 
 
-def test_medoids_against_all_choices():
+def test_medoids_against_all_choices(spark):
     rng = np.random.default_rng(5)
     for k in (1, 2, 3):
         x = rng.normal(size=(9, 2))
         d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
         best = min(d[:, list(c)].min(1).sum() for c in itertools.combinations(range(9), k))
-        assert clusters.medoids(d, k)[1] <= best * 1.05 + 1e-9
+        rows = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "run int, sample long, values array<double>")
+        assert sum(r["dist"] for r in medoids.medoid_runs(rows, {1: k}).collect()) <= best * 1.05 + 1e-9
 
 
 def clouds(spark, n=45):
@@ -296,7 +297,7 @@ def agrees(rows, n=3):
 
 def test_clusterers_find_three_clouds(spark):
     rows = clouds(spark)
-    assert agrees(clusters.best_medoid_clusters(statistics.distances(rows), [2, 3, 4, 5]).collect())
+    assert agrees(medoids.best_of(rows, [2, 3, 4, 5]).collect())
     many = clouds(spark, 300)
     found, scores = clusters.mixture(many, 3)
     assert agrees(found.collect()) and max(scores.collect(), key=lambda r: r["bic"])["k"] == 3
