@@ -12,10 +12,11 @@ are counted on both signatures.
 
 Posting lists can be as long as a crowd of copies, so pairs in them are not all made. First each node is paired with the
 first node of its lists, and confirmed links join components. Then only lists with several components are left: the
-largest component's nodes and the others' are cut into parts, each two of which are one task, where each node is paired
-with the `NEAREST` nodes of each other component with most collisions. What they give is confirmed, components are joined
-anew, and if any node had more candidates, the lists go round again for eight times as many, until none is left out. So
-every pair with enough collisions is confirmed, or its ends are already in one component by confirmed links.
+largest component's nodes and the others' are cut into parts by the bytes of their sets, each two of which are one task.
+There collisions are counted on a longer signature, of which a byte of each value is kept (`SKETCH` bytes, of which
+`SKETCH_MATCHES` must be equal; at similarity 0.8 the chance of fewer is 2e-5). What has enough is compared by whole sets,
+those with most collisions first, until the node is in the other's component; and only links that join components leave
+the task. So every pair with enough collisions is confirmed or refuted, or its ends are in one component by other links.
 
 Nulls: a null text, or one without words, has no shingles and is linked with nothing. Null ids are kept; a component of
 null ids only has a null id. Equal rows are one node and each gets its row. An empty table gives no rows. Of docs only
@@ -25,7 +26,6 @@ doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,10 @@ SHINGLE = 4
 SIMILAR = 80  # of a hundred
 COORDINATES = 32
 MATCHES = 16
-NEAREST = 8
-PART = 2048
+SKETCH = 128
+SKETCH_MATCHES = 83
+#: Bytes of the sets in a part of a list.
+PART = 8 << 20
 #: Pairs of one node that are joined to it in one task.
 FAN = 4096
 #: Comparisons of coordinates, and hashes, that a task makes at a time.
@@ -101,18 +103,24 @@ def with_signature(docs: DataFrame, n: int = SHINGLE, coordinates: int = COORDIN
     return one.mapInArrow(run, "doc_id long, text_id long, n_shingles long, node long, tokens array<long>")
 
 
+def sketch(shingles: np.ndarray, size: int = SKETCH) -> bytes:
+    """A byte of the smallest hash under each of `size` functions, other than those of the signature."""
+    return ((signature(mixed(shingles + WIDE(1)), size) >> WIDE(40)) & WIDE(255)).astype(np.uint8).tobytes()
+
+
 def shingle_sets(docs: DataFrame, asked: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(node, shingles) of asked (node, text_id), from the texts of docs."""
+    """(node, shingles, sketch) of asked (node, text_id), from the texts of docs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, n).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_id", "shingles"])
+            sets = [shingle_set(t, n) for t in b.column(1).to_pylist()]
+            columns = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["text_id", "shingles", "sketch"])
 
     texts = docs.select(F.xxhash64(whole_text()).alias("text_id"), whole_text().alias("text")).join(asked, "text_id", "left_semi")
-    sets = texts.mapInArrow(run, "text_id long, shingles array<long>").dropDuplicates(["text_id"])
-    return sets.join(asked, "text_id").select("node", "shingles")
+    sets = texts.dropDuplicates(["text_id"]).mapInArrow(run, "text_id long, shingles array<long>, sketch binary")
+    return sets.join(asked.select("text_id", "node"), "text_id").select("node", "shingles", "sketch")
 
 
 def prefixes(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -149,36 +157,50 @@ def first_pairs(lists: DataFrame, nodes: DataFrame, matches: int = MATCHES) -> D
     return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= matches).select("a", "b")
 
 
-def colliding(tree: list, queries: list, matches: int, nearest: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of a query and a node of the tree in another component, of those with enough collisions the `nearest` with
-    most for each query and component (ties: the smaller node); and whether there were more."""
-    found, more = [], False
-    t_node, t_comp = (np.array([r[i] for r in tree], np.int64) for i in (0, 1))
-    t = np.array([r[2] for r in tree], np.int64)
-    step = max(1, CELLS // (len(tree) * t.shape[1]))
+def joining(tree: list, queries: list, matches: int = SKETCH_MATCHES, similar: int = SIMILAR) -> Iterator[tuple[int, int]]:
+    """Links of a query and a node of the tree that join all components that links between the two join. Rows are (node,
+    component, sketch, set in order)."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (above := parent.get(c, c)) != c:
+            parent[c] = parent.get(above, above)
+            c = above
+        return c
+
+    comps = np.array([r[1] for r in tree], np.int64)
+    sizes = np.array([len(r[3]) for r in tree])
+    bytes_of = lambda rows: np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+    t = bytes_of(tree)
+    step = max(1, 4 * CELLS // max(1, t.size))
     for at in range(0, len(queries), step):
         part = queries[at : at + step]
-        node, comp = (np.array([r[i] for r in part], np.int64) for i in (0, 1))
-        same = (np.array([r[2] for r in part], np.int64)[:, None, :] == t[None, :, :]).sum(2, dtype=np.int16)
-        i, j = np.nonzero((same >= matches) & (comp[:, None] != t_comp[None, :]))
-        if not len(i):
-            continue
-        order = np.lexsort((t_node[j], -same[i, j], t_comp[j], i))
-        i, j = i[order], j[order]
-        begins = np.concatenate([[True], (i[1:] != i[:-1]) | (t_comp[j][1:] != t_comp[j][:-1])])
-        starts = np.nonzero(begins)[0]
-        rank = np.arange(len(i)) - starts[np.cumsum(begins) - 1]
-        keep = rank < nearest
-        more |= not keep.all()
-        found += zip(node[i[keep]].tolist(), t_node[j[keep]].tolist(), strict=True)
-    return found, more
-
-
-def candidates(lists: DataFrame, known: DataFrame, nearest: int, matches: int = MATCHES, part: int = PART) -> DataFrame:
-    """(a, b, more) of lists (token, node) and known (node, component, tokens): pairs across components, a < b, and a row
-    with `more` where there are others. A list of one component gives nothing."""
-    rows = lists.join(known, "node")
-    by = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
+        same = np.count_nonzero(bytes_of(part)[:, None, :] == t[None, :, :], axis=2)
+        for (node, comp, _, own), hits in zip(part, same, strict=True):
+            left = np.nonzero((hits >= matches) & (comps != comp))[0]
+            left = left[np.argsort(-hits[left], kind="stable")]
+            most = 8
+            while len(left):
+                left = left[[root(c) != root(comp) for c in comps[left].tolist()]]
+                now, left = left[:most], left[most:]
+                if not len(now):
+                    break
+                whole = np.concatenate([tree[k][3] for k in now])
+                found = own[np.minimum(np.searchsorted(own, whole), len(own) - 1)] == whole
+                shared = np.add.reduceat(found, np.concatenate([[0], np.cumsum(sizes[now])[:-1]]), dtype=np.int64)
+                for k in now[100 * shared >= similar * (sizes[now] + len(own) - shared)].tolist():
+                    if (x := root(int(comps[k]))) != (y := root(comp)):
+                        parent[x] = y
+                        yield node, tree[k][0]
+                most *= 4
+
+
+def crowd_links(lists: DataFrame, known: DataFrame, similar: int = SIMILAR, matches: int = SKETCH_MATCHES, part: int = PART) -> DataFrame:
+    """(a, b) of lists (token, node) and known (node, component, sketch, shingles): links that join the components that
+    links of nodes in one list join. A list of one component gives nothing."""
+    weight = (F.lit(256.0) + 8 * F.size("shingles")).alias("weight")
+    rows = lists.join(known.select("node", "component", weight), "node")
+    by = rows.groupBy("token", "component").agg(F.sum("weight").alias("n"))
     live = by.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
     cuts = lambda n: F.ceil(n / F.lit(float(part))).cast("int")
     live = live.select("token", F.col("top.component").alias("top"), cuts(F.col("top.n")).alias("wide"), cuts(F.col("n") - F.col("top.n")).alias("rest"))
@@ -190,66 +212,50 @@ def candidates(lists: DataFrame, known: DataFrame, nearest: int, matches: int =
         " transform(sequence(1, -part), i -> struct(-i as i, part as j, 1 as role)),"
         " if(-part < rest, transform(sequence(1 - part, rest), j -> struct(part as i, -j as j, 0 as role)), cast(array() as array<struct<i:int,j:int,role:int>>))))"
     ))
-    dealt = placed.select("token", task.alias("t"), "node", "component", "tokens").select("token", "t.i", "t.j", "t.role", "node", "component", "tokens")
+    dealt = placed.select("token", task.alias("t"), "node").join(known, "node").select("token", "t.i", "t.j", "t.role", "node", "component", "sketch", "shingles")
     small_batches(lists.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key, tree, queries):
-            if not key or not queries or not (tree or key[1] == key[2]):
-                return
-            found, more = colliding(queries if key[1] == key[2] else tree, queries, matches, nearest)
-            ends = np.sort(np.array(found, np.int64).reshape(-1, 2), 1)
-            ends = np.unique(ends, axis=0) if len(ends) else ends
-            if more:
-                ends = np.concatenate([ends, [[0, 0]]])
-            if len(ends):
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array([False] * (len(ends) - more) + [True] * more)], ["a", "b", "more"])
+        def links(key, tree, queries):
+            one = key is not None and key[1] == key[2]
+            if queries and (tree or one) and (found := list(joining(queries if one else tree, queries, matches, similar))):
+                ends = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
         key, tree, queries = None, [], []
         for b in batches:
-            for token, i, j, role, *row in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+            offsets, values = b.column(7).offsets.to_numpy(), b.column(7).values.to_numpy().view(WIDE)
+            for k, (token, i, j, role, *row) in enumerate(zip(*(b.column(c).to_pylist() for c in range(7)), strict=True)):
                 if (at := (token, i, j)) != key:
-                    yield from pairs(key, tree, queries)
+                    yield from links(key, tree, queries)
                     key, tree, queries = at, [], []
-                (queries if role else tree).append(row)
-        yield from pairs(key, tree, queries)
+                (queries if role else tree).append((*row, values[offsets[k] : offsets[k + 1]].copy()))
+        yield from links(key, tree, queries)
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long, more boolean")
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(nodes: DataFrame, docs: DataFrame, nearest: int = NEAREST, similar: int = SIMILAR, n: int = SHINGLE, matches: int = MATCHES, part: int = PART) -> DataFrame:
+def linked(nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR, n: int = SHINGLE, part: int = PART) -> DataFrame:
     """(node, component) of the nodes (node, text_id, tokens) that have a link, from confirmed pairs."""
-    lists = stored(prefixes(nodes, matches), "prefixes")
-    asked = lists.join(lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token").select("node").distinct()
-    sets = stored(shingle_sets(docs, nodes.join(asked, "node", "left_semi").select("node", "text_id"), n), "shingle-sets")
-    tested = [stored(first_pairs(lists, nodes, matches), "pairs")]
-    links = [stored(confirmed(tested[0], sets, similar), "links")]
-    joined = stored(components(links[0]), "components")
-    while True:
-        known = nodes.select("node", "tokens").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "tokens")
-        found = stored(candidates(lists, known, nearest, matches, part), "candidates")
-        fresh = found.where("not more").select("a", "b").distinct()
-        before = reduce(DataFrame.union, [t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for t in tested])
-        fresh = stored(fresh.join(before, ["a", "b"], "left_anti"), "pairs")
-        more, some = not found.where("more").isEmpty(), not fresh.isEmpty()
-        if some:
-            tested.append(fresh)
-            links.append(stored(confirmed(fresh, sets, similar), "links"))
-            joined = stored(components(reduce(DataFrame.union, links)), "components")
-        if not more:  # all pairs across components have been looked at
-            return joined
-        if not some:
-            nearest *= 8
-
-
-def near_duplicates(docs: DataFrame, nearest: int = NEAREST, similar: int = SIMILAR, n: int = SHINGLE, part: int = PART) -> DataFrame:
+    posted = stored(prefixes(nodes), "posted")
+    lists = stored(posted.join(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token").select("token", "node"), "prefixes")
+    asked = stored(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "text_id", "tokens"), "asked")
+    sets = stored(shingle_sets(docs, asked, n), "shingle-sets")
+    links = stored(confirmed(first_pairs(lists, asked), sets, similar), "links")
+    joined = stored(components(links), "components")
+    known = sets.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch", "shingles")
+    more = stored(crowd_links(lists, known, similar, part=part), "links")
+    return joined if more.isEmpty() else stored(components(links.union(more)), "components")
+
+
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR, n: int = SHINGLE, part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable, itself included) and kept (whether that is its own) of
     docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     marked = stored(with_signature(docs, n), "signatures")
     nodes = marked.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_id").alias("text_id"), F.first("tokens").alias("tokens"))
     nodes = stored(nodes, "nodes")
-    joined = linked(nodes, docs, nearest, similar, n, part=part)
+    joined = linked(nodes, docs, similar, n, part)
     grouped = nodes.join(joined, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = grouped.join(least, "component").select("node", "component_id")

@@ -65,8 +65,8 @@ def test_collisions_are_as_frequent_as_the_similarity():
     assert few <= 3 and abs(np.mean(counts) / 32 - 140 / 180) < 0.01 and abs(np.var(counts) / (32 * 140 / 180 * 40 / 180) - 1) < 0.15
 
 
-@pytest.mark.parametrize(("nearest", "part"), [(8, 2048), (1, 7)])
-def test_families_crowds_and_templates_against_all_pairs(spark, nearest, part):
+@pytest.mark.parametrize("part", [minhash.PART, 9000])
+def test_families_crowds_and_templates_against_all_pairs(spark, part):
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
     texts = []
@@ -83,7 +83,7 @@ def test_families_crowds_and_templates_against_all_pairs(spark, nearest, part):
     sets = brute_sets(texts)
     links = links_of(sets)
     want = joined_by(links, list(range(len(texts))))
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, list(enumerate(texts))), nearest, part=part).collect()}
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, list(enumerate(texts))), part=part).collect()}
     assert len(links) > 300 and len(got) == len(texts)
     assert [got[i]["component_id"] for i in range(len(texts))] == want
     assert all(r["kept"] == (r["component_id"] == d) and r["n_shingles"] == len(sets[d]) for d, r in got.items())
