@@ -107,4 +107,52 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_positional_index": OP5_SQL}
+OP12_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY 1, 2),
+coded AS (SELECT run, n, hex(concat(CAST(doc_id AS VARCHAR), ':', run)) AS h FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                                 lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM coded, crc_table),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (word)),
+chain AS (
+  SELECT word, form AS last, 1 AS steps FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, forms.form, steps + 1 FROM chain JOIN forms ON forms.word = last WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(last, steps) AS root FROM chain GROUP BY 1)
+SELECT word, form, coalesce(root, word) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms LEFT JOIN roots USING (word)
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(w[b:b + least(4, len(w)) - 1], ' ') AS g
+  FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS b FROM words WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * i >= 80 * (p.n + q.n - i)),
+reach AS (SELECT r, r AS other FROM words UNION SELECT reach.r, y FROM reach JOIN links ON other = x),
+least_ids AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN words ON words.r = other GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM words JOIN least_ids USING (r) LEFT JOIN sizes USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_positional_index": OP5_SQL, "op12_reduced_alphabet": OP12_SQL, "op13_coordinate_join": OP13_SQL}
