@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import index, packing, quality, simhash, windows
+from tessella.llm import index, near, packing, quality, windows
 from tessella.llm.common import id_remainder, stored, table
 from tessella.llm.queries import tokenizer_path
 
@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more, verified. The document
     of the smallest doc_id stays, with all rows of that id; texts without words are copies of each other."""
-    return simhash.without_near_duplicates(docs)
+    return near.without_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,11 +13,6 @@ part whose fingerprints it is searched with, and so a crowded shard is spread ov
 Within a task links become a forest by union-find, so a crowd of n near copies gives n - 1 links and not n^2 / 2.
 Components of the links are found by contracting the graph on tables, stored in the shared folder.
 
-`without_near_duplicates` asks for a Jaccard similarity of word shingles, at which 64-bit fingerprints are farther apart
-than bit blocks can shard by (about 10 bits at 0.8). There the shards are the smallest shingle hashes of the texts under
-`FUNCTIONS` functions, which texts of similarity s share with probability s each; the trees in them are walked with
-`WIDE_RADIUS`, and what is near is verified on the shingles themselves. Recall at similarity 0.8 is 0.98 by calculation.
-
 Nulls: a null text has no words, thus the fingerprint zero, linked like any other. Null ids are kept, and a component of
 null ids only has a null id. Repeated rows share a fingerprint and a component.
 """
@@ -36,12 +31,6 @@ from tessella.llm.common import small_batches, stored, whole_text
 
 RADIUS = 4
 SHINGLE = 4
-STAGE_SHINGLE = 5
-SIMILAR = 0.8
-WIDE_RADIUS = 16
-FUNCTIONS = 4
-NEAREST = 6  # neighbours in each component that are verified, so that one that fails leaves others
-CLOSE = 6  # a neighbour of a component as close as this is taken without looking for a closer one
 SEED = 42
 SHARD = 2048
 #: Fingerprints up to which so many blocks give shards of a few: with b blocks a shard's name has 64 (b - r) / b bits.
@@ -144,37 +133,6 @@ def forest(tree: list[int], queries: list[int] | None, radius: int) -> Iterator[
                 yield (x, values[j])
 
 
-def nearest_forest(tree: list[int], queries: list[int] | None, radius: int) -> Iterator[tuple[int, int]]:
-    """Links like those of `forest`, each to the nearest few of a component, as these are likeliest to be verified."""
-    values = list(dict.fromkeys(tree))
-    extra = list(dict.fromkeys(queries)) if queries is not None else values
-    bk = BKTree(values if queries is not None else ())
-    parent = list(range(len(values) + (len(extra) if queries is not None else 0)))
-    groups = len(values) if queries is not None else 0
-    for i, x in enumerate(extra):
-        best: dict[int, list[tuple[int, int]]] = {}
-        close: set[int] = set()
-        for j in bk.near(x, radius):
-            d, r = (bk.values[j] ^ x).bit_count(), root(parent, j)
-            found = best.setdefault(r, [])
-            found.append((d, j))
-            if len(found) > 4 * NEAREST:
-                found[:] = sorted(found)[:NEAREST]
-            if d <= CLOSE:
-                close.add(r)
-                if len(close) == groups:
-                    break
-        me = i if queries is None else len(values) + i
-        groups += 1
-        for r, found in best.items():
-            parent[r] = root(parent, me)
-            groups -= 1
-            for _, j in sorted(found)[:NEAREST]:
-                yield (x, bk.values[j])
-        if queries is None:
-            bk.add(x)
-
-
 def block_masks(blocks: int, radius: int) -> list[int]:
     edges = [64 * i // blocks for i in range(blocks + 1)]
     bits = [((1 << (b - a)) - 1) << a for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -275,74 +233,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     ids = grouped.join(least, "component").select("fingerprint", "component_id")
     out = marked.join(ids, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-MARKED = "doc_id long, text_id long, fingerprint long, node long, smallest array<long>"
-
-
-def with_marks(docs: DataFrame, n: int = STAGE_SHINGLE, functions: int = FUNCTIONS) -> DataFrame:
-    """doc_id, text_id, fingerprint, a hash of the words (`node`) and the smallest shingle hashes of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            nodes = [xxh64_intdigest(b" ".join(t.encode("utf-8", "replace").lower().split()), 1) for t in texts]
-            smallest = np.zeros((len(texts), functions), np.uint64)
-            for i, t in enumerate(texts):
-                h = np.array([xxh64_intdigest(x, SEED) for x in shingles(t, n)], np.uint64)
-                for k in range(functions if len(h) else 0):
-                    x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1)
-                    smallest[i, k] = (x ^ (x >> np.uint64(29))).min()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * functions, pa.int32()), pa.array(smallest.view(np.int64).ravel()))
-            prints = pa.array(fingerprints_of(texts, n).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prints, pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], ["doc_id", "text_id", "fingerprint", "node", "smallest"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_id"), whole_text().alias("text")).mapInArrow(run, MARKED)
-
-
-def alike(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR, n: int = STAGE_SHINGLE) -> DataFrame:
-    """The pairs (a, b, text_a, text_b) whose texts' shingle sets have that Jaccard similarity, or are both empty."""
-    asked = stored(pairs.select(F.col("text_a").alias("text_id")).union(pairs.select("text_b")).distinct(), "asked-texts")
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for b in batches:
-            sets = [np.unique(np.array([xxh64_intdigest(x, SEED) for x in shingles(t, n)], np.uint64)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_id", "shingles"])
-
-    texts = docs.select(F.xxhash64(whole_text()).alias("text_id"), whole_text().alias("text")).join(asked, "text_id", "left_semi").dropDuplicates(["text_id"])
-    sets = stored(texts.mapInArrow(run, "text_id long, shingles array<long>"), "shingle-sets")
-    both = pairs.join(sets.select(F.col("text_id").alias("text_a"), F.col("shingles").alias("x")), "text_a").join(sets.select(F.col("text_id").alias("text_b"), F.col("shingles").alias("y")), "text_b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("shared", shared).where(F.col("shared") >= F.lit(similar) * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9).select("a", "b")
-
-
-def near_groups(docs: DataFrame, similar: float = SIMILAR, n: int = STAGE_SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
-    """doc_id, group_id (the smallest doc_id reachable by pairs of that similarity) of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    marked = stored(with_marks(docs, n), "near-marks")
-    nodes = stored(marked.groupBy("fingerprint", "node").agg(F.min("doc_id").alias("first_id"), F.min("text_id").alias("text_id")), "near-nodes")
-    keyed = marked.select("fingerprint", F.posexplode("smallest").alias("table", "shard")).distinct()
-    found = stored(shard_links(keyed, radius, join=nearest_forest), "near-links")
-    heads = nodes.groupBy("fingerprint").agg(F.min_by(F.struct("node", "text_id"), F.struct("node", "text_id")).alias("head"))
-    heads = heads.select("fingerprint", "head.node", "head.text_id")
-    one, two = heads.toDF("a_print", "a", "text_a"), heads.toDF("b_print", "b", "text_b")
-    across = found.join(one, found["a"] == one["a_print"]).drop(found["a"]).join(two, found["b"] == two["b_print"]).drop(found["b"]).select("a", "b", "text_a", "text_b")
-    within = nodes.join(one, nodes["fingerprint"] == one["a_print"]).where("node <> a").select("a", F.col("node").alias("b"), "text_a", F.col("text_id").alias("text_b"))
-    joined = components(alike(stored(across.union(within), "near-pairs"), docs, similar, n))
-    grouped = nodes.join(joined, "node", "left").select("fingerprint", "node", "first_id", F.coalesce("component", "node").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first_id").alias("group_id"))
-    ids = grouped.join(least, "component").select("fingerprint", "node", "group_id")
-    return marked.join(ids, ["fingerprint", "node"]).select("doc_id", "group_id")
-
-
-def without_near_duplicates(docs: DataFrame, similar: float = SIMILAR, n: int = STAGE_SHINGLE) -> DataFrame:
-    """docs, all columns, with the document of the smallest doc_id of each group of near copies; rows of that id all stay,
-    and rows of a null id stay if a group has no other. Texts without words are copies of each other."""
-    kept = near_groups(docs, similar, n).where("doc_id <=> group_id").select(F.col("doc_id").alias("_near_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_near_kept")), "left_semi")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.llm import index, queries, simhash, windows
+from tessella.llm import index, near, queries, simhash, windows
 
 ODD = [(0, None), (1, ""), (2, "one"), (3, "a b c d e"), (3, "a b c d e"), (None, "x y z"), (6, "word " * 4000), (7, "  \n ")]
 
@@ -91,7 +91,7 @@ def test_simhash_odd_rows(spark):
         by[r["doc_id"]].add((r["fingerprint"], r["component_id"]))
     assert by[0] == by[1] == by[7] == {("0" * 16, 0)} and len(by[3]) == 1
     assert simhash.near_duplicates(frame(spark, ODD).limit(0)).count() == 0
-    kept = simhash.without_near_duplicates(frame(spark, ODD)).collect()
+    kept = near.without_near_duplicates(frame(spark, ODD)).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 2, 3, 3, 6]
 
 
@@ -107,17 +107,49 @@ def test_near_groups_against_all_pairs(spark):
     sets = {d: set(simhash.shingles(t, 5)) for d, t in docs.items()}
     brute = [(a, b) for a in docs for b in docs if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = joined_by(brute, docs)
-    got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(frame(spark, list(docs.items()))).collect()}
+    got = {r["doc_id"]: r["group_id"] for r in near.near_groups(frame(spark, list(docs.items()))).collect()}
     found = sum(got[a] == got[b] for a, b in brute)
     assert len(brute) > 60 and found >= 0.97 * len(brute)
     assert all(want[d] == want[g] for d, g in got.items())  # nothing that all pairs don't join
 
 
+@pytest.mark.parametrize("others", [400, 2000])
+def test_near_pairs_among_texts_of_one_template(spark, others):
+    """Pairs of similarity 0.85 or so among texts that share a template and are alike by 0.62, under the limit."""
+    rng = random.Random(others)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    template = [word() for _ in range(330)]
+    own = lambda: [word() for _ in range(100)]
+    texts = [template + own() for _ in range(others)]
+    pairs = []
+    for _ in range(40):
+        tail = own()
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [template + tail, template + tail[:65] + own()[:35]]
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = {d: set(simhash.shingles(docs[d][1], 5)) for d in [0, 1, *(x for p in pairs for x in p)]}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 1) < 0.65 and all(0.8 <= alike(a, b) < 0.9 for a, b in pairs)
+    got = {r["doc_id"]: r["group_id"] for r in near.near_groups(frame(spark, docs), part=1 << 20).collect()}
+    assert sum(got[a] == got[b] == a for a, b in pairs) >= 39
+    assert all(got[d] == d for d in range(others))
+
+
+def test_functions_of_near_shards_are_independent():
+    rng = np.random.default_rng(8)
+    missed = 0
+    for _ in range(4000):  # 100 shingles each, 80 of 90 shared to 0.8
+        h = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+        one, two = near.minhash.signature(h[:90], near.FUNCTIONS), near.minhash.signature(h[10:], near.FUNCTIONS)
+        missed += not (one == two).any()
+    assert missed < 0.003 * 4000
+
+
 def test_near_duplicates_keep_columns_of_any_name(spark):
     rows = frame(spark, ODD).withColumns({c: F.lit(7) for c in ("kept_id", "fingerprint", "node", "text_id", "group_id", "component", "a", "b")})
-    left = simhash.without_near_duplicates(rows)
+    left = near.without_near_duplicates(rows)
     assert left.columns == rows.columns and left.where("kept_id = 7 and node = 7").count() == 6
-    assert simhash.without_near_duplicates(rows.limit(0)).count() == 0
+    assert near.without_near_duplicates(rows.limit(0)).count() == 0
 
 
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=40), st.integers(1, 6))
