@@ -4,7 +4,8 @@ one with its longest character n-grams that are known, falling back to shorter o
 Costs are -log10 of relative frequencies; a language that lacks a word (or n-gram) that another has pays `PENALTY`. The
 language with the smallest mean cost over the words of a text wins; ties go to the smaller name. An unseen word costs the
 mean over its known n-grams of the greatest length, up to `LONGEST`, that has any, each as often as it occurs in the word
-(word ends are marked); with none at all it costs `PENALTY` everywhere. Words are runs of letters.
+(word ends are marked); with none at all it costs `PENALTY` everywhere. Words are runs of letters with their
+combining marks.
 
 Every word of the training texts and all n-grams of each are counted, none is left out. Words and n-grams are known by
 64-bit hashes, which spares moving strings. The entries are stored; the most frequent ones, at most `CACHE_BYTES` of
@@ -21,6 +22,8 @@ such columns. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +40,9 @@ PENALTY = 7.0
 CACHE_BYTES = 24 << 20
 HELD = 200_000
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Combining marks, which belong to the letter before them (vowel signs of Indic scripts, tone marks).
+MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))
+LETTERS = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")
 FACTORS = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -45,7 +50,9 @@ def words_of(text: str) -> list[str]:
     found = LETTERS.findall(text.lower())
     if "".join(found).isalpha() or not found:
         return found
-    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]  # numbers such as fractions are no letters
+    if odd := [c for c in set().union(*found) if not c.isalpha() and unicodedata.category(c) not in ("Mn", "Mc")]:
+        found = LETTERS.findall(" ".join(found).translate(dict.fromkeys(map(ord, odd), " ")))  # numbers such as fractions are no letters
+    return found
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

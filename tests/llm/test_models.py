@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -54,7 +55,13 @@ def test_language_on_held_out_rows(spark):
 
 def brute_language(training, texts):
     """By dictionaries of all words and n-grams, kept whole."""
-    words = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    def words(t):
+        found = ""
+        for c in (t or "").lower():
+            mark = unicodedata.category(c) in ("Mn", "Mc") and found[-1:].strip()
+            found += c if c.isalpha() or mark else " "
+        return found.split()
+
     grams = lambda w, k: [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)]
     counts = {k: {} for k in range(6)}
     for text, lang in training:
@@ -90,10 +97,10 @@ def brute_language(training, texts):
 @pytest.mark.parametrize("cache", [0, 600, 4000, langid.CACHE_BYTES])
 def test_language_against_brute_force_whatever_the_cache(spark, cache):
     rows = [
-        (1, "the cat and the dog \u00bd ran", "en"), (2, "le chat et le chien \u2167 courent", "fr"), (3, "der hund und die katze", "de"), (4, None, "en"), (5, "nobody knows", None),
+        (1, "the cat and the dog \u00bd ran", "en"), (2, "le chat et le chien \u2167 courent", "fr"), (3, "der hund und die katze", "de"), (31, "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e \u092e\u0947\u0902", "hi"), (32, "\u09ac\u09be\u0982\u09b2\u09be \u09ad\u09be\u09b7\u09be", "bn"), (33, "\u0e01\u0e34\u0e19\u0e02\u0e49\u0e32\u0e27", "th"), (4, None, "en"), (5, "nobody knows", None),
         (6, "the dog", "en"), (6, "the dog", "en"), (None, "chienne chatte", "fr"), (8, "katzen hunde " * 30 + "x" * 5000, "de"), (9, "", "fr"),
     ]
-    texts = [*[r[1] for r in rows], "caterpillars", "hundert chatons", "\u00bd \u2167 \u00b2 12", "qqq zzz", "\u65e5\u672c", "Katze-Hund_9\u00b2cat", "y" * 3000, "x" * 4999]
+    texts = [*[r[1] for r in rows], "\u092d\u093e\u0937\u093e\u0913\u0902 \u00bd\u0940", "\u0301 cat\u0301s", "\u0301", "hundert chatons", "\u00bd \u2167 \u00b2 12", "qqq zzz", "\u65e5\u672c", "Katze-Hund_9\u00b2cat", "y" * 3000, "x" * 4999]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(docs, cache)
     asked = spark.createDataFrame([(i, t, "a", 0.5, 3) for i, t in enumerate(texts)], "doc_id int, text string, word string, score double, costs int").withColumns({"key": F.lit(1), "_row": F.lit(2)})
@@ -105,6 +112,11 @@ def test_language_against_brute_force_whatever_the_cache(spark, cache):
         assert (r["lang_pred"], r["text"]) == (pred, texts[r["doc_id"]]) and abs(r["score"] - score) < 1e-4, (r, pred, score)
 
 
+def test_words_keep_their_marks():
+    assert langid.words_of("\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e, \u09ac\u09be\u0982\u09b2\u09be \u0e01\u0e34\u0e19\u0e02\u0e49\u0e32\u0e27") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "\u092d\u093e\u0937\u093e", "\u09ac\u09be\u0982\u09b2\u09be", "\u0e01\u0e34\u0e19\u0e02\u0e49\u0e32\u0e27"]
+    assert langid.words_of("\u0301a\u0301 1\u0301 b\u00bdc_d") == ["a\u0301", "b", "c", "d"]
+
+
 def test_language_odd_tables(spark):
     docs = odd(spark)
     got = langid.with_language(docs.drop("lang"), langid.train(docs)).collect()
