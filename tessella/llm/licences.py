@@ -18,6 +18,7 @@ gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,6 +64,14 @@ SENTENCES = {
     "agpl-copy": "you should have received a copy of the gnu affero general public license along with this program",
     "gpl3-name": "gnu general public license version 3",
     "gpl2-name": "gnu general public license version 2",
+    "gpl3-v-name": "gplv3",
+    "gpl2-v-name": "gplv2",
+    "gpl3-gnu-name": "gnu gpl v3",
+    "gpl2-gnu-name": "gnu gpl v2",
+    "gpl3-later-name": "gnu gpl v3 or later",
+    "gpl2-later-name": "gnu gpl v2 or later",
+    "mpl2-short-name": "mozilla public license 2 0",
+    "mpl2-version-name": "mozilla public license version 2 0",
     "gpl3-title": "gnu general public license version 3 29 june 2007",
     "gpl2-title": "gnu general public license version 2 june 1991",
     "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
@@ -104,6 +113,11 @@ SENTENCES = {
     "see-license": "see the license file for details",
     "spdx": "spdx license identifier",
 }
+# Other wordings of sentences, by the identifier that they have too.
+VARIANTS = {
+    "mit-notice": ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software", "the above copyright notice and this permission notice shall be included in all copies of the software"),
+    "isc-grant": ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this notice appear in all copies", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this notice appear in all copies"),
+}
 # Words that stand before a licence's name in usual notices, in front of the identifiers that end in -name or -long.
 BEFORE_NAMES = ("licensed under the", "licensed under a", "licensed under", "released under the", "distributed under the", "available under the", "this work is licensed under the", "this work is licensed under a", "this work is licensed under", "under the terms of the", "released under the terms of the", "licensed under the terms of the", "the")
 # Ordered rules, from the most specific.
@@ -148,6 +162,14 @@ RULES = (
     ("MIT", ("mit-name",)),
     ("GPL-3.0", ("gpl3-name",)),
     ("GPL-2.0", ("gpl2-name",)),
+    ("GPL-3.0-or-later", ("gpl3-later-name",)),
+    ("GPL-2.0-or-later", ("gpl2-later-name",)),
+    ("GPL-3.0", ("gpl3-v-name",)),
+    ("GPL-2.0", ("gpl2-v-name",)),
+    ("GPL-3.0", ("gpl3-gnu-name",)),
+    ("GPL-2.0", ("gpl2-gnu-name",)),
+    ("MPL-2.0", ("mpl2-short-name",)),
+    ("MPL-2.0", ("mpl2-version-name",)),
     ("ISC", ("isc-grant",)),
     ("0BSD", ("0bsd-grant",)),
     ("MPL-2.0", ("mpl2-name",)),
@@ -182,8 +204,13 @@ RULES = (
 )
 #: Sentences that may stand between those of any rule.
 ASIDE = frozenset({"copyright", "all-rights"})
+#: Licences that lack a condition of another: their grants must not be followed by words that no known sentence has, as
+#: these may be that condition reworded.
+LAX = frozenset({"MIT-0", "0BSD", "BSD-2-Clause", "BSD-3-Clause"})
+SPDX = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\n]*)", re.I)
+SPDX_PART = re.compile(r"[()\s]*([a-z0-9][a-z0-9.-]*\+?)[()]*", re.I)
 #: Each known sentence holds one of these in lower case, so texts without any are passed over.
-MARKS = re.compile(r"licen[sc]e|warrant|copyright|permission|redistribut|liable|endorse|unencumbered|reserved|compliance|permitted|cc0|cc\W{0,8}by|useful|misrepresented|distribute|mpl\W{1,8}was|commons|acknowledg|advertis")
+MARKS = re.compile(r"licen[sc]e|warrant|copyright|permission|redistribut|liable|endorse|unencumbered|reserved|compliance|permitted|cc0|cc\W{0,8}by|useful|misrepresented|distribute|mpl\W{1,8}was|commons|acknowledg|advertis|gpl|mozilla")
 #: Comment marks at the start of a line, then the number or bullet of a list; ends of comments.
 LINE_START = re.compile(r"^[ \t]*(?:(?:#+|//+|/\*+|\*+/?|--+|;+|%+|<!--|\"\"\"|'''|>+|rem\b|dnl\b)[ \t]*)*(?:\(?[0-9a-z]{1,2}[.)][ \t]+|[-•][ \t]+)?", re.I | re.M)
 LINE_END = re.compile(r"[ \t]*(?:\*+/|-->|\*+)?[ \t]*$", re.M)
@@ -195,7 +222,8 @@ VARIABLE = 12  # words that * may stand for
 def sentence_table(sentences: dict[str, str]) -> dict[tuple[str, ...], list[tuple[str, list[list[str]]]]]:
     """Known sentences by their first words (three, or all before a variable part), longest first: (identifier, its parts)."""
     table: dict[tuple[str, ...], list] = {}
-    for name, text in sentences.items():
+    wordings = [(name, t) for name, text in sentences.items() for t in (text, *VARIANTS.get(name, ()))]
+    for name, text in wordings:
         heads = [f"{b} " for b in BEFORE_NAMES] if name.endswith(("-name", "-long")) else []
         for head in ["", *heads]:
             parts = [p.split() for p in (head + text).replace("licence", "license").split("*")]
@@ -217,35 +245,66 @@ def length_of(parts: list[list[str]], words: list[str], at: int) -> int:
     return end - at
 
 
-def sentence_ids(text: str, table: dict) -> tuple[list[str], int]:
-    """Identifiers of the known sentences of a text, in order, and the number of its sentences."""
+def found_sentences(text: str, table: dict) -> tuple[list[str], int, list[bool]]:
+    """Identifiers of the known sentences of a text, in order, the number of its sentences, and whether unknown words follow
+    each: up to the next known sentence, or to the end of its own if it is the last. List numbers are no such words."""
     n = sum(1 for p in ENDS.split(text) if p and not p.isspace())
     text = text.lower()
     if not MARKS.search(text):
-        return [], n
-    words, starts = [], [0]
+        return [], n, []
+    words, starts, stops = [], [0], []
     for w in WORD_OR_BREAK.findall(LINE_END.sub("", LINE_START.sub("", text)).replace("licence", "license")):
         if w.isalnum():
             words.append(w)
-        elif starts[-1] != len(words):
+            continue
+        if starts[-1] != len(words):
             starts.append(len(words))
-    out, free = [], 0
+        if w in ".!?":
+            stops.append(len(words))
+    out, spans, free = [], [], 0
     for at in starts:
         if at < free:
             continue
         for k in (3, 2, 1):
             for name, parts in table.get(tuple(words[at : at + k]), ()):
-                if (taken := length_of(parts, words, at)) and at >= free:
+                if at >= free and (taken := length_of(parts, words, at)):
                     out.append(name)
                     free = at + taken
-    return out, n
+                    spans.append((at, free))
+    stops.append(len(words))
+    ends = [at for at, _ in spans[1:]] + [stops[bisect_left(stops, e)] for _, e in spans[-1:]]
+    return out, n, [any(len(w) > 2 for w in words[e:to]) for (_, e), to in zip(spans, ends, strict=True)]
 
 
-def licences(ids: list[str], rules=RULES, aside: frozenset = ASIDE) -> tuple[list[str], list[bool]]:
-    """Names of the rules that match, in the order of their places, and which identifiers they used; each is used once."""
+def sentence_ids(text: str, table: dict) -> tuple[list[str], int]:
+    """Identifiers of the known sentences of a text, in order, and the number of its sentences."""
+    return found_sentences(text, table)[:2]
+
+
+def spdx_names(text: str) -> list[str]:
+    """The licences of the SPDX expressions of a text, in order; exceptions after WITH are none. Those that rules know are
+    written as there, others as in the text."""
+    names = {name.lower(): name for name, _ in RULES}
+    found = []
+    for m in SPDX.finditer(text):
+        at, before = 0, "and"
+        while (part := SPDX_PART.match(m[1], at)) and (here := part[1].rstrip(".-")):
+            operator = here.lower() in ("and", "or", "with")
+            if operator == (before in ("and", "or", "with")):
+                break
+            if not operator and before != "with":
+                found.append(names.get(here.lower(), here))
+            at, before = part.end(), here.lower() if operator else ""
+    return list(dict.fromkeys(found))
+
+
+def licences(ids: list[str], rules=RULES, aside: frozenset = ASIDE, followed: list[bool] | None = None, lax: frozenset = LAX) -> tuple[list[str], list[bool]]:
+    """Names of the rules that match, in the order of their places, and which identifiers they used; each is used once.
+    followed: whether unknown words follow each identifier's sentence, which ends the rules of `lax` names."""
     used, found = [False] * len(ids), []
     for name, sequence in rules:
         i = 0
+        strict = followed and name in lax and not sequence[-1].endswith("-name")
         while i < len(ids):
             places, j = [], i
             while j < len(ids) and len(places) < len(sequence) and not used[j]:
@@ -253,8 +312,10 @@ def licences(ids: list[str], rules=RULES, aside: frozenset = ASIDE) -> tuple[lis
                     places.append(j)
                 elif not places or ids[j] not in aside:
                     break
+                if strict and followed[j] and (len(places) < len(sequence) or len(sequence) == 1):
+                    break
                 j += 1
-            if len(places) == len(sequence):
+            if len(places) == len(sequence) and not (strict and len(sequence) == 1 and followed[places[0]]):
                 found.append((i, name))
                 for p in places:
                     used[p] = True
@@ -264,6 +325,16 @@ def licences(ids: list[str], rules=RULES, aside: frozenset = ASIDE) -> tuple[lis
     return list(dict.fromkeys(name for _, name in sorted(found))), used
 
 
+def text_licences(text: str, table: dict, rules=RULES) -> tuple[list[str], int, list[str], list[bool]]:
+    """The known sentences of a text, its number of sentences, its licences, and which of the known sentences these use."""
+    ids, n, followed = found_sentences(text, table)
+    found, used = licences(ids, rules, followed=followed)
+    if "SPDX" in found and (named := spdx_names(text)):
+        k = found.index("SPDX")
+        found = list(dict.fromkeys([*found[:k], *named, *found[k + 1 :]]))
+    return ids, n, found, used
+
+
 SCANNED = "doc_id long, n_sentences long, sentence_ids array<string>, licences array<string>, unmatched long"
 
 
@@ -279,8 +350,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules=RULES)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, n = sentence_ids(text, table)
-                found, used = licences(ids, rules)
+                ids, n, found, used = text_licences(text, table, rules)
                 rows.append((doc_id, n, ids, found, used.count(False)))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names)

@@ -195,6 +195,45 @@ def test_licence_texts_plain_and_in_comments(text, want, mark):
     assert found == want and all(used)
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE.
+"""
+NOTICE = "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
+
+
+@pytest.mark.parametrize("mark", ["", "#", "/*"])
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (MIT, ["MIT"]), (ISC, ["ISC"]), (BSD.format(""), ["All-rights-reserved", "BSD-2-Clause"]), (BSD.format(BSD3), ["All-rights-reserved", "BSD-3-Clause"]),
+        (ISC.replace("this permission notice", "this notice"), ["ISC"]), (ISC.replace("appear in all copies", "are kept by all who copy"), []),
+        (re.sub(r",\s+provided.*?copies\.", ".", ISC, flags=re.S), ["0BSD"]),
+        (BSD.format("3. Everybody who uses this must say so on each of their pages."), ["All-rights-reserved"]),
+        ("SPDX-License-Identifier: MIT", ["MIT"]), ("SPDX-License-Identifier: Apache-2.0\nint main;", ["Apache-2.0"]),
+        ("SPDX-License-Identifier: (mit OR GPL-2.0-only WITH Classpath-exception-2.0) AND Foo-1.0+", ["MIT", "GPL-2.0-only", "Foo-1.0+"]), ("SPDX-License-Identifier:", ["SPDX"]),
+        ("Released under the GPLv3.", ["GPL-3.0"]), ("GNU GPL v3 or later", ["GPL-3.0-or-later"]), ("Licensed under the Mozilla Public License 2.0.", ["MPL-2.0"]),
+    ],
+)
+def test_no_rule_drops_a_condition(text, want, mark):
+    table = licences.sentence_table(licences.SENTENCES)
+    assert licences.text_licences(commented(text, mark), table)[2] == want
+
+
+def test_rewording_of_the_notice_gives_no_laxer_licence():
+    table = licences.sentence_table(licences.SENTENCES)
+    notice = re.compile(r"The above copyright notice and this.*?Software\.", re.S)
+    assert notice.search(MIT)
+    for new, want in ((NOTICE, "MIT"), (NOTICE.replace("notice shall", "notice (including the next\nparagraph) shall"), "MIT"), (NOTICE.replace("shall be", "are to be"), None)):
+        found = licences.text_licences(notice.sub(new, MIT), table)[2]
+        assert "MIT-0" not in found and (want is None or want in found)
+    free = re.sub(r",?\s*subject to\s+the following conditions:", ".", notice.sub("", MIT))
+    assert "MIT-0" in licences.text_licences(free, table)[2]
+
+
 def brute_sentences(text):
     """Known sentences by a pattern for each, tried at each start."""
     lines = []
@@ -204,7 +243,7 @@ def brute_sentences(text):
     parts, patterns = [], []
     for p in re.split(r"[\n.,:;!?()\[\]]", "\n".join(lines).lower().replace("licence", "license")):
         parts.append(re.findall(r"[^\W_]+", p))
-    for name, t in licences.SENTENCES.items():
+    for name, t in [(name, t) for name, text in licences.SENTENCES.items() for t in (text, *licences.VARIANTS.get(name, ()))]:
         for head in ["", *[b + " " for b in licences.BEFORE_NAMES]] if name.endswith(("-name", "-long")) else [""]:
             whole = (head + t).replace("licence", "license")
             patterns.append((len(whole.split()) - whole.count("*"), name, re.compile(whole.replace(" * ", r"(?: \w+){0,12}? ") + r"(?!\w)")))
