@@ -42,16 +42,21 @@ HELD = 200_000
 UNKNOWN = "und"
 #: Combining marks, which belong to the letter before them (vowel signs of Indic scripts, tone marks).
 MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))
-LETTERS = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")
+PAST_LATIN = re.compile("[\u0300-\U0010ffff]")  # from the first mark on
+LETTERS = re.compile(r"[^\W\d_]+")
+NEAR, FAR = ("".join(c for c in MARKS if (c > "\uffff") == far) for far in (False, True))  # a class of both is searched one by one
+MARKED = re.compile(rf"[^\W\d_]+(?:(?:[{NEAR}]|[{FAR}])+[^\W\d_]*)*")
 FACTORS = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
+    text = text.lower()
+    pattern = MARKED if not text.isascii() and PAST_LATIN.search(text) else LETTERS
+    found = pattern.findall(text)
     if "".join(found).isalpha() or not found:
         return found
     if odd := [c for c in set().union(*found) if not c.isalpha() and unicodedata.category(c) not in ("Mn", "Mc")]:
-        found = LETTERS.findall(" ".join(found).translate(dict.fromkeys(map(ord, odd), " ")))  # numbers such as fractions are no letters
+        found = pattern.findall(" ".join(found).translate(dict.fromkeys(map(ord, odd), " ")))  # numbers such as fractions are no letters
     return found
 
 
