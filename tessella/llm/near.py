@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import minhash
 from tessella.llm.common import small_batches, stored, whole_text
-from tessella.llm.simhash import BKTree, components, root, shard_links
+from tessella.llm.simhash import BKTree, components, extended, root, shard_links
 
 SHINGLE = 5
 SIMILAR = 80  # of a hundred
@@ -117,7 +117,7 @@ def linked(nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR, n: int = S
     joined = stored(components(links), "components")
     known = sets.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch", "shingles")
     more = stored(minhash.crowd_links(lists, known, similar, part=part), "links")
-    return joined if more.isEmpty() else stored(components(links.union(more)), "components")
+    return joined if more.isEmpty() else stored(extended(joined, more), "components")
 
 
 def near_groups(docs: DataFrame, similar: int = SIMILAR, n: int = SHINGLE, radius: int = RADIUS, part: int = minhash.PART) -> DataFrame:

@@ -223,6 +223,16 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     return found.join(least, "label").select("node", "component")
 
 
+def extended(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of the components joined (node, component) and further links (a, b) between their nodes or new ones.
+    Only components that the links join are gone through again."""
+    x, y = joined.toDF("a", "x"), joined.toDF("b", "y")
+    between = stored(links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct(), "links")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(joined, "node", "left_anti")
+    both = joined.select("node", "component").union(ends.select("node", F.col("node").alias("component")))
+    return both.join(components(between).toDF("component", "wider"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable) of docs (doc_id, text)."""
     marked = stored(with_fingerprint(docs, shingle), "fingerprints")

@@ -76,6 +76,17 @@ def test_links_of_crowds_in_parts(spark, shard, blocks):
     assert len(found) < 40 * len(values)
 
 
+def test_components_taken_further(spark):
+    rng = random.Random(4)
+    first = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)]
+    more = [(rng.randrange(240), rng.randrange(240)) for _ in range(40)] + [(3, 3), (500, 501)]
+    frames = [spark.createDataFrame([e for e in part if e[0] != e[1]], "a long, b long") for part in (first, more)]
+    got = simhash.extended(simhash.components(frames[0]), frames[1]).collect()
+    edges = [e for e in first + more if e[0] != e[1]]
+    nodes = {n for e in edges for n in e}
+    assert len(got) == len(nodes) and {r["node"]: r["component"] for r in got} == joined_by(edges, nodes)
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 400)] + [(5, 5), (-3, 9), (9, -3)]
     got = {r["node"]: r["component"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
