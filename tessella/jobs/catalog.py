@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators import classify, clusters, communities, consensus, dendrograms, enrichment, medoids, neighbours, ranking, resampling, sets, statistics
+from tessella.operators import classify, clusters, communities, consensus, dendrograms, enrichment, medoids, neighbours, ranking, reduction, resampling, sets, statistics
 from tessella.sources.tables import long_from_arrays, table, wide
 
 QUERIES: dict = {}
@@ -694,6 +694,27 @@ def consensus_run_labels(spark, sf):
     return clusters.consensus_runs(arrays(spark, sf).select("sample", "values"), 20, 0.8, 10, 7)
 
 
+@query(f"WITH {LONG} SELECT a.label AS run, a.feature AS i, b.feature AS j, round(coalesce(covar_samp(a.value, b.value), 0), 6) + 0.0 AS value FROM l a JOIN l b ON a.sample = b.sample GROUP BY 1, 2, 3")
+def label_covariances(spark, sf):
+    """The covariances of each label's rows."""
+    found = reduction.covariances(reduction.with_mean(arrays(spark, sf).select(F.col("label").alias("run"), "sample", "values")))
+    return found.select("run", "i", F.posexplode("cells").alias("j", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query()
+def consensus_reduced_labels(spark, sf):
+    """Labels of runs that each take 80 % of the samples, their most variable positions and two components of these, and
+    cluster them by k-means with a k drawn from 10 to 12."""
+    return reduction.consensus_reduced(arrays(spark, sf).select("sample", "values"), medoids.drawn_ks(20, 10, 12, 7), 0.8, 2, 7)
+
+
+@query()
+def consensus_reduced_medoids(spark, sf):
+    """Co-association of such runs, by medoids."""
+    found = reduction.consensus_reduced(arrays(spark, sf).select("sample", "values"), medoids.drawn_ks(10, 10, 12, 7), 0.8, 2, 7, clusterer="pam")
+    return consensus.coassociation(found)
+
+
 @query()
 def pam(spark, sf):
     """The k from 2 to 12 whose medoids give the best mean silhouette."""
