@@ -13,31 +13,54 @@ from tessella.functions.scalars import draw_key, uniform
 NEIGHBOURS = "sample long, neighbor long, dist double"
 
 
-def knn(rows: DataFrame, k: int, queries: DataFrame | None = None, blocks: int = 8) -> DataFrame:
+#: Rows in a block: a pair of blocks is one task, whose distances are worked out for 256 queries at a time.
+BLOCK = 4096
+
+
+def nearest_rows(y: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k rows of x nearest to each row of y, ties by the row's id; own and ids are their ids.
+
+    Squares and products only choose the rows that may be among the nearest, with room for their rounding; the distances of
+    these are sums of squared differences, so that copies are 0 apart."""
+    yy, xx = (y * y).sum(1), (x * x).sum(1)
+    about = yy[:, None] + xx - 2 * y @ x.T
+    about[(own[:, None] == ids) | np.isnan(about)] = np.inf
+    last = min(k, len(x)) - 1
+    room = 1e-13 * (x.shape[1] + 8) * (yy + np.nanmax(xx, initial=0))
+    most = np.partition(about, last, axis=1)[:, last] + room
+    q, r = np.nonzero(np.isfinite(about) & (about <= most[:, None]))
+    gap, step = np.empty(len(q)), max(1, (1 << 22) // max(1, x.shape[1]))
+    for i in range(0, len(q), step):
+        gap[i : i + step] = np.sqrt(((y[q[i : i + step]] - x[r[i : i + step]]) ** 2).sum(1))
+    order = np.lexsort((ids[r], gap, q))
+    q, r, gap = q[order], r[order], gap[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], r[keep], gap[keep]
+
+
+def knn(rows: DataFrame, k: int, queries: DataFrame | None = None, blocks: int = 8, block: int = BLOCK) -> DataFrame:
     """(sample, neighbor, dist, rank): the k nearest rows (sample, values array) of each query (all rows: None) but itself;
-    Euclidean, ties by the neighbour's id.
+    Euclidean, ties by the neighbour's id. Rows with NaN are no one's neighbours and have none.
 
-    Rows and queries are dealt to blocks; each pair of blocks is one task that keeps k for each of its queries, and the
-    best k over the blocks remain. What moves is k rows for each query and block, never all pairs.
+    Rows and queries are dealt to blocks, as many as the rows need and `blocks` at least; each pair of blocks is one task that
+    keeps k for each of its queries, and the best k over the blocks remain. What moves is k rows for each query and block.
     """
     asked = (rows if queries is None else queries).select("sample", "values")
-    block = F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")
-    data = rows.select(F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), block.alias("db"), "sample", "values")
-    query = asked.select(F.lit(1).alias("kind"), block.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("db"), "sample", "values")
+    number = rows.agg(F.greatest(F.lit(blocks), F.ceil(F.count("*") / F.lit(float(block)))).cast("int").alias("blocks"))  # one row
+    own, every = F.pmod(F.xxhash64("sample"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    data = rows.select("sample", "values").crossJoin(F.broadcast(number)).select(F.lit(0).alias("kind"), every.alias("qb"), own.alias("db"), "sample", "values")
+    query = asked.crossJoin(F.broadcast(number)).select(F.lit(1).alias("kind"), own.alias("qb"), every.alias("db"), "sample", "values")
 
     def nearest(found: pd.DataFrame) -> pd.DataFrame:
-        d, q = found[found.kind == 0].sort_values("sample"), found[found.kind == 1]
+        d, q = found[found.kind == 0], found[found.kind == 1]
         if d.empty or q.empty:
             return pd.DataFrame({"sample": [], "neighbor": [], "dist": []})
         x, ids, out = np.stack(d["values"].to_numpy()).astype(float), d["sample"].to_numpy(), []
         for i in range(0, len(q), 256):
             part = q.iloc[i : i + 256]
-            y = np.stack(part["values"].to_numpy()).astype(float)
-            gap = np.sqrt(((y[:, None, :] - x[None, :, :]) ** 2).sum(2)) if x.shape[0] * x.shape[1] < 200_000 else np.sqrt(np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1) - 2 * y @ x.T, 0))
-            gap[part["sample"].to_numpy()[:, None] == ids] = np.inf
-            best = np.argsort(gap, axis=1, kind="stable")[:, :k]
-            keep = np.isfinite(np.take_along_axis(gap, best, 1))
-            out.append(pd.DataFrame({"sample": np.repeat(part["sample"].to_numpy(), keep.sum(1)), "neighbor": ids[best[keep]], "dist": np.take_along_axis(gap, best, 1)[keep]}))
+            asking = part["sample"].to_numpy()
+            at, row, gap = nearest_rows(np.stack(part["values"].to_numpy()).astype(float), asking, x, ids, k)
+            out.append(pd.DataFrame({"sample": asking[at], "neighbor": ids[row], "dist": gap}))
         return pd.concat(out)
 
     found = data.unionByName(query).groupBy("qb", "db").applyInPandas(nearest, NEIGHBOURS)

@@ -26,6 +26,23 @@ def by(rows, *keys):
     return out
 
 
+def test_neighbours_of_copies_far_from_the_origin(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 6)) + 1e4
+    x[60:90], x[90:] = x[:30], x[7]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, [float("nan")] * 6)], "sample long, values array<double>")
+    want = {}
+    for i in range(len(x)):
+        gap = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want[i] = [(int(j), gap[j]) for j in sorted(range(len(x)), key=lambda j: (gap[j], j)) if j != i][:5]  # noqa: B023
+    for block in (9, 4096):
+        got = {}
+        for r in neighbours.knn(rows, 5, blocks=1, block=block).orderBy("sample", "rank").collect():
+            got.setdefault(r["sample"], []).append((r["neighbor"], r["dist"]))
+        assert {i: [n for n, _ in v] for i, v in got.items()} == {i: [n for n, _ in v] for i, v in want.items()}
+        assert all(a == pytest.approx(b, abs=0 if b == 0 else 1e-9) for i in want for (_, a), (_, b) in zip(got[i], want[i], strict=True))
+
+
 def test_folds_do_not_overlap_and_leave_the_remainder(people):
     found = by(resampling.k_fold(people, 7, 1).collect(), "fold", "role")
     valid = [set(v) for (f, role), v in found.items() if role == "valid"]
