@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators import classify, clusters, communities, consensus, dendrograms, enrichment, medoids, neighbours, ranking, reduction, resampling, sets, statistics
+from tessella.operators import classify, clusters, communities, consensus, dendrograms, enrichment, medoids, mixtures, neighbours, ranking, reduction, resampling, sets, statistics
 from tessella.sources.tables import long_from_arrays, table, wide
 
 QUERIES: dict = {}
@@ -786,6 +786,14 @@ def gmm_bic(spark, sf):
     return clusters.mixture(first_components(spark, sf, 4), 6)[1]
 
 
+@query()
+def mixture_models(spark, sf):
+    """BIC of six covariance models with 1 to 6 components over four principal components."""
+    rows = first_components(spark, sf, 4)
+    fits, n, _ = mixtures.fitted(rows, 6)
+    return mixtures.scores(rows, fits, n)
+
+
 @query()
 def spectral(spark, sf):
     shared = consensus.shared_neighbours(neighbours.knn(arrays(spark, sf), 10)).withColumnRenamed("shared", "weight")
