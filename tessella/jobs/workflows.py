@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.scalars import draw_key
-from tessella.operators import classify, consensus, ranking, resampling
+from tessella.operators import classify, consensus, ranking, resampling, statistics
 
 KEYS = ("pipeline_iter", "fold")
 
@@ -45,7 +45,7 @@ def folds_with_holdout(members: DataFrame, settings: Settings) -> tuple[DataFram
 def signatures(matrix: DataFrame, train: DataFrame, *keys: str) -> DataFrame:
     """(keys, feature, nes): Welch's t of group 1 against group 2 on training members."""
     of = lambda g, f: f(F.when(F.col("grp") == g, F.col("value")))
-    m = train.join(matrix, "sample").groupBy(*keys, "feature").agg(*[of(g, f).alias(f"{name}{g}") for g in (1, 2) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    m = train.join(matrix, "sample").groupBy(*keys, "feature").agg(*[of(g, f).alias(f"{name}{g}") for g in (1, 2) for name, f in (("n", F.count), ("m", F.avg), ("v", lambda c: statistics.exact_zero(F.var_samp(c), c)))])
     spread = F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")
     return m.where(spread > 0).select(*keys, "feature", ((F.col("m1") - F.col("m2")) / F.sqrt(spread)).alias("nes"))
 

@@ -9,8 +9,14 @@ from pyspark.sql.window import Window
 from tessella.functions.scalars import signed_z, t_log_tail
 
 
+def exact_zero(spread: Column, value: Column | str) -> Column:
+    """spread, a sample variance or deviation of value, but 0 where all values are equal: when partial means of a constant
+    are merged, rounding leaves a little."""
+    return F.when((F.count(value) > 1) & (F.min(value) == F.max(value)), 0.0).otherwise(spread)
+
+
 def moments(matrix: DataFrame, *keys: str) -> DataFrame:
-    return matrix.groupBy(*(keys or ("feature",))).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return matrix.groupBy(*(keys or ("feature",))).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), exact_zero(F.stddev_samp("value"), "value").alias("sd"))
 
 
 def varying(matrix: DataFrame) -> DataFrame:
@@ -52,7 +58,7 @@ def welch(matrix: DataFrame) -> DataFrame:
     log_p is twice the log of the upper tail, signed against t; df is floored for it.
     """
     of = lambda g, f: f(F.when(F.col("grp") == g, F.col("value")))
-    m = matrix.groupBy("feature").agg(*[of(g, f).alias(f"{name}{g}") for g in (1, 2) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    m = matrix.groupBy("feature").agg(*[of(g, f).alias(f"{name}{g}") for g in (1, 2) for name, f in (("n", F.count), ("m", F.avg), ("v", lambda c: exact_zero(F.var_samp(c), c)))])
     a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     t = (F.col("m1") - F.col("m2")) / F.sqrt(a + b)
     df = (a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))
