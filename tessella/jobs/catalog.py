@@ -111,9 +111,9 @@ def mc_balanced(spark, sf):
 
 @query(
     f"""WITH {ORDERED}, s AS (SELECT max(n) AS n, CAST(floor(max(n) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS size FROM o),
-    v AS (SELECT f, c, CAST('0x' || substr(md5(concat_ws('|', '7v', f, c)), 1, 8) AS BIGINT) % n + 1 AS rn FROM s, generate_series(1, 4) AS t(f), generate_series(1, 10000) AS u(c) WHERE c <= size),
+    v AS (SELECT f, c, CAST('0x' || substr(md5(concat_ws('|', '7v', f, c)), 1, 8) AS BIGINT) % n + 1 AS rn FROM (SELECT *, unnest(generate_series(1, size)) AS c FROM s, generate_series(1, 4) AS t(f))),
     r AS (SELECT f, rn, row_number() OVER (PARTITION BY f ORDER BY rn) AS place, count(*) OVER (PARTITION BY f) AS l FROM (SELECT f, rn FROM o, generate_series(1, 4) AS t(f) EXCEPT SELECT f, rn FROM v)),
-    d AS (SELECT f, c, CAST('0x' || substr(md5(concat_ws('|', '7t', f, c)), 1, 8) AS BIGINT) % l + 1 AS place FROM s, (SELECT DISTINCT f, l FROM r), generate_series(1, 10000) AS u(c) WHERE c <= n - size)
+    d AS (SELECT f, c, CAST('0x' || substr(md5(concat_ws('|', '7t', f, c)), 1, 8) AS BIGINT) % l + 1 AS place FROM (SELECT *, unnest(generate_series(1, n - size)) AS c FROM s, (SELECT DISTINCT f, l FROM r)))
     SELECT CAST(x.f AS INTEGER) AS fold, role, grp, sample, CAST(c AS INTEGER) AS copy_no FROM (SELECT f, 'valid' AS role, rn, c FROM v UNION ALL SELECT d.f, 'train', r.rn, c FROM d JOIN r ON d.f = r.f AND d.place = r.place) x JOIN o USING (rn)"""
 )
 def mc_with_replacement(spark, sf):
