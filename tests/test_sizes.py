@@ -1,10 +1,12 @@
 """Steps that held only for small tables."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.jobs import catalog
-from tessella.operators import statistics
+from tessella.operators import clusters, consensus, statistics
 
 
 def test_constant_in_parts_does_not_vary(spark):
@@ -25,3 +27,34 @@ def test_draws_of_more_than_ten_thousand_members(spark, tmp_path):
     columns = sorted(want.columns)
     a, b = (d[columns].sort_values(columns).reset_index(drop=True) for d in (want, found))
     assert (a == b).all(axis=None)
+
+
+def some_runs(spark, n=90, runs=5):
+    rng = np.random.default_rng(3)
+    rows = [(r, s, int(rng.integers(4))) for r in range(runs) for s in range(n) if rng.random() < 0.7]
+    return rows, spark.createDataFrame(rows, "run int, sample long, cluster int")
+
+
+def by_pair(rows, per_sampled=False):
+    own = {}
+    for r, s, c in rows:
+        own.setdefault(s, {})[r] = c
+    for a in own:
+        for b in own:
+            if n := sum(own[b].get(r) == c for r, c in own[a].items()):
+                yield a, b, float(n), n / (len(own[a].keys() & own[b].keys()) if per_sampled else len(own[b]))
+
+
+def moved_by_pair(df):
+    """Whether a shuffle of the plan has the pairs as its keys."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return any("Exchange" in x and "_sample#" in x for x in plan.splitlines())
+
+
+def test_coassociation_moves_no_pairs(spark):
+    rows, members = some_runs(spark)
+    found = consensus.coassociation(members)
+    assert not moved_by_pair(found)
+    assert sorted(map(tuple, found.collect())) == sorted(by_pair(rows))
+    words = spark.createDataFrame([(f"r{r}", s, f"c{c}") for r, s, c in rows], "run string, sample long, cluster string")
+    assert sorted(map(tuple, consensus.coassociation(words).collect())) == sorted(by_pair(rows))
