@@ -58,3 +58,12 @@ def test_coassociation_moves_no_pairs(spark):
     assert sorted(map(tuple, found.collect())) == sorted(by_pair(rows))
     words = spark.createDataFrame([(f"r{r}", s, f"c{c}") for r, s, c in rows], "run string, sample long, cluster string")
     assert sorted(map(tuple, consensus.coassociation(words).collect())) == sorted(by_pair(rows))
+
+
+def test_merged_counts_move_no_pairs(spark):
+    _, members = some_runs(spark)
+    found = consensus.merged_counts(members, 2)
+    assert not moved_by_pair(found)
+    want = consensus.merged([consensus.coassociation(members.where(F.col("run") % 2 == p)) for p in (0, 1)], "n")
+    a, b = (d.toPandas().sort_values(["row_sample", "col_sample"]).reset_index(drop=True) for d in (found, want))
+    pd.testing.assert_frame_equal(a, b)
