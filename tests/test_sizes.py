@@ -67,3 +67,10 @@ def test_merged_counts_move_no_pairs(spark):
     want = consensus.merged([consensus.coassociation(members.where(F.col("run") % 2 == p)) for p in (0, 1)], "n")
     a, b = (d.toPandas().sort_values(["row_sample", "col_sample"]).reset_index(drop=True) for d in (found, want))
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_coassociation_by_common_runs_moves_no_pairs(spark):
+    rows, members = some_runs(spark)
+    found = consensus.coassociation(members, per_sampled=True)
+    assert not moved_by_pair(found)
+    assert sorted(map(tuple, found.collect())) == sorted(by_pair(rows, True))
