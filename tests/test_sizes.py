@@ -74,3 +74,10 @@ def test_coassociation_by_common_runs_moves_no_pairs(spark):
     found = consensus.coassociation(members, per_sampled=True)
     assert not moved_by_pair(found)
     assert sorted(map(tuple, found.collect())) == sorted(by_pair(rows, True))
+
+
+def test_graph_edges_move_no_pairs(spark):
+    rows, members = some_runs(spark)
+    found = consensus.edges(consensus.coassociation(members))
+    assert not moved_by_pair(found)
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, w) for a, b, _, w in by_pair(rows) if a != b)
