@@ -483,7 +483,7 @@ def low(spark, sf):
 
 @query(f"WITH {PAIRS}, {LOW} SELECT c.row_sample, c.col_sample, CASE WHEN low.sample IS NULL THEN c.n END AS n, round(CASE WHEN low.sample IS NULL THEN c.n / own.whole END, 6) AS norm FROM ca c LEFT JOIN low ON c.col_sample = low.sample LEFT JOIN own ON own.sample = c.col_sample")
 def mask_low_confidence(spark, sf):
-    return rounded(consensus.masked(consensus.coassociation(runs(spark, sf)), low(spark, sf)), "norm")
+    return rounded(consensus.coassociation(runs(spark, sf), low=low(spark, sf)), "norm")
 
 
 @query(f"WITH {PAIRS} SELECT row_sample AS src, col_sample AS dst, round(norm, 6) AS weight FROM ca WHERE row_sample <> col_sample")

@@ -81,3 +81,12 @@ def test_graph_edges_move_no_pairs(spark):
     found = consensus.edges(consensus.coassociation(members))
     assert not moved_by_pair(found)
     assert sorted(map(tuple, found.collect())) == sorted((a, b, w) for a, b, _, w in by_pair(rows) if a != b)
+
+
+def test_masked_columns_move_no_pairs(spark):
+    rows, members = some_runs(spark)
+    low = members.where("sample % 7 = 3").select("sample")
+    found = consensus.coassociation(members, low=low)
+    assert not moved_by_pair(found)
+    key = lambda d: sorted(map(tuple, d.collect()), key=lambda r: r[:2])
+    assert key(found) == key(consensus.masked(consensus.coassociation(members), low))
