@@ -90,3 +90,11 @@ def test_masked_columns_move_no_pairs(spark):
     assert not moved_by_pair(found)
     key = lambda d: sorted(map(tuple, d.collect()), key=lambda r: r[:2])
     assert key(found) == key(consensus.masked(consensus.coassociation(members), low))
+
+
+def test_consensus_of_own_runs_moves_no_pairs(spark):
+    rows = spark.createDataFrame([(i, [float(i % 3), float(i % 7), 0.5 * (i % 2)]) for i in range(80)], "sample long, values array<double>")
+    members = clusters.consensus_runs(rows, 4, 0.8, 3, 7)
+    found = consensus.coassociation(members)
+    assert not moved_by_pair(found)
+    assert sorted(map(tuple, found.collect())) == sorted(by_pair([tuple(r) for r in members.select("run", "sample", "cluster").collect()]))
