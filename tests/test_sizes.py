@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.jobs import catalog
-from tessella.operators import clusters, consensus, statistics
+from tessella.operators import clusters, consensus, medoids, statistics
 
 
 def test_constant_in_parts_does_not_vary(spark):
@@ -98,3 +98,31 @@ def test_consensus_of_own_runs_moves_no_pairs(spark):
     found = consensus.coassociation(members)
     assert not moved_by_pair(found)
     assert sorted(map(tuple, found.collect())) == sorted(by_pair([tuple(r) for r in members.select("run", "sample", "cluster").collect()]))
+
+
+def points(spark, n=70, width=5):
+    x = np.random.default_rng(4).normal(size=(n, width))
+    x[7] = x[3]
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample long, values array<double>")
+
+
+def joins_pairs(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "CartesianProduct" in plan or any("NestedLoopJoin" in x and " < " in x for x in plan.splitlines())
+
+
+def check_distances(spark, metric, of):
+    x, rows = points(spark)
+    found = statistics.distances(rows, metric)
+    assert not joins_pairs(found)
+    got = {(r["a"], r["b"]): r["dist"] for r in found.collect()}
+    assert got.keys() == {(a, b) for a in range(len(x)) for b in range(a + 1, len(x))}
+    assert max(abs(d - of(x[a], x[b])) for (a, b), d in got.items()) < 1e-12
+    return got
+
+
+def test_euclid_distances_join_no_pairs(spark):
+    got = check_distances(spark, "euclid", lambda p, q: np.sqrt(((p - q) ** 2).sum()))
+    assert got[(3, 7)] == 0
+    odd = spark.createDataFrame([(1, [0.0, 3.0]), (2, [4.0, 0.0]), (3, [1.0, None]), (4, None), (5, [1.0])], "sample long, values array<double>")
+    assert {(r["a"], r["b"]): r["dist"] for r in statistics.distances(odd).collect()} == {(a, b): 5.0 if (a, b) == (1, 2) else None for a in range(1, 6) for b in range(a + 1, 6)}
