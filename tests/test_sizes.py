@@ -126,3 +126,7 @@ def test_euclid_distances_join_no_pairs(spark):
     assert got[(3, 7)] == 0
     odd = spark.createDataFrame([(1, [0.0, 3.0]), (2, [4.0, 0.0]), (3, [1.0, None]), (4, None), (5, [1.0])], "sample long, values array<double>")
     assert {(r["a"], r["b"]): r["dist"] for r in statistics.distances(odd).collect()} == {(a, b): 5.0 if (a, b) == (1, 2) else None for a in range(1, 6) for b in range(a + 1, 6)}
+
+
+def test_manhattan_distances_join_no_pairs(spark):
+    check_distances(spark, "manhattan", lambda p, q: np.abs(p - q).sum())
