@@ -130,3 +130,7 @@ def test_euclid_distances_join_no_pairs(spark):
 
 def test_manhattan_distances_join_no_pairs(spark):
     check_distances(spark, "manhattan", lambda p, q: np.abs(p - q).sum())
+
+
+def test_pearson_distances_join_no_pairs(spark):
+    check_distances(spark, "pearson", lambda p, q: 1 - np.corrcoef(p, q)[0, 1])
