@@ -134,3 +134,15 @@ def test_manhattan_distances_join_no_pairs(spark):
 
 def test_pearson_distances_join_no_pairs(spark):
     check_distances(spark, "pearson", lambda p, q: 1 - np.corrcoef(p, q)[0, 1])
+
+
+def test_silhouettes_of_points_make_no_table_of_pairs(spark):
+    _, rows = points(spark)
+    named = rows.withColumn("cluster", F.when(F.col("sample") == 9, 8).otherwise(F.col("sample") % 3).cast("int"))
+    half = statistics.distances(rows)
+    both = half.select(F.col("a").alias("row_sample"), F.col("b").alias("col_sample"), "dist").union(half.select("b", "a", "dist"))
+    want = {r["sample"]: (r["cluster"], r["silhouette"]) for r in consensus.silhouettes(both, named.select("sample", "cluster")).collect()}
+    found = medoids.silhouettes(named.withColumn("run", F.lit(0)), least=4)
+    got = {r["sample"]: (r["cluster"], r["silhouette"]) for r in found.collect()}
+    assert got.keys() == want.keys() and got[9] == (8, 0.0)
+    assert all(got[s][0] == want[s][0] and abs(got[s][1] - want[s][1]) < 1e-12 for s in want)
