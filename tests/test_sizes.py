@@ -146,3 +146,8 @@ def test_silhouettes_of_points_make_no_table_of_pairs(spark):
     got = {r["sample"]: (r["cluster"], r["silhouette"]) for r in found.collect()}
     assert got.keys() == want.keys() and got[9] == (8, 0.0)
     assert all(got[s][0] == want[s][0] and abs(got[s][1] - want[s][1]) < 1e-12 for s in want)
+
+
+def test_silhouette_split_makes_no_table_of_pairs(spark, sf_dir):
+    plan = catalog.silhouette_split(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "row_sample" not in plan and "Join Inner, (" not in plan
