@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.jobs import catalog
-from tessella.operators import clusters, consensus, medoids, statistics
+from tessella.operators import clusters, consensus, dendrograms, medoids, statistics
 
 
 def test_constant_in_parts_does_not_vary(spark):
@@ -151,3 +151,20 @@ def test_silhouettes_of_points_make_no_table_of_pairs(spark):
 def test_silhouette_split_makes_no_table_of_pairs(spark, sf_dir):
     plan = catalog.silhouette_split(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "row_sample" not in plan and "Join Inner, (" not in plan
+
+
+def merged_sets(tree):
+    """Each merge's samples with its height, whatever the order of merges."""
+    parts, out = {}, []
+    for r in sorted(tree.collect(), key=lambda r: (r["turn"], r["height"], r["a"], r["b"])):
+        parts[r["a"]] = parts.get(r["a"], {r["a"]}) | parts.get(r["b"], {r["b"]})
+        out.append((sorted(parts[r["a"]]), r["height"]))
+    return sorted(out)
+
+
+def test_single_linkage_of_points_makes_no_table_of_pairs(spark):
+    x, rows = points(spark)
+    rows = rows.union(rows.where("sample < 12").select(F.col("sample") + 100, "values"))  # copies: ties
+    found, want = dendrograms.point_tree(rows).collect(), dendrograms.merges(statistics.distances(rows), "single").collect()
+    assert {(r["a"], r["b"]) for r in found} == {(r["a"], r["b"]) for r in want} and len(found) == 81
+    assert np.allclose(sorted(r["height"] for r in found), sorted(r["height"] for r in want), atol=1e-12)
