@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.jobs import catalog
-from tessella.operators import clusters, consensus, dendrograms, medoids, statistics
+from tessella.operators import classify, clusters, consensus, dendrograms, medoids, resampling, statistics
 
 
 def test_constant_in_parts_does_not_vary(spark):
@@ -168,3 +168,20 @@ def test_single_linkage_of_points_makes_no_table_of_pairs(spark):
     found, want = dendrograms.point_tree(rows).collect(), dendrograms.merges(statistics.distances(rows), "single").collect()
     assert {(r["a"], r["b"]) for r in found} == {(r["a"], r["b"]) for r in want} and len(found) == 81
     assert np.allclose(sorted(r["height"] for r in found), sorted(r["height"] for r in want), atol=1e-12)
+
+
+def test_ward_of_points_makes_no_table_of_pairs(spark):
+    _, rows = points(spark, 40)
+    found, want = merged_sets(dendrograms.point_ward(rows)), merged_sets(dendrograms.merges(statistics.distances(rows), "ward"))
+    assert [s for s, _ in found] == [s for s, _ in want] and len(found) == 39
+    assert np.allclose([h for _, h in found], [h for _, h in want], atol=1e-9)
+
+
+def test_leave_one_out_has_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "ROWS", 500)
+    monkeypatch.setattr(resampling, "FOLDS", 16)
+    members = spark.createDataFrame([(i, 1 + i % 2) for i in range(100)], "sample long, grp int")
+    found = resampling.leave_one_out(members, 7)
+    sizes = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in sizes) == 10_000 and max(r["count"] for r in sizes) < 2_000
+    assert found.where("role = 'valid'").agg(F.countDistinct("sample"), F.countDistinct("fold")).first()[:] == (100, 100)
