@@ -211,3 +211,9 @@ def test_sweep_tasks_get_a_row_a_sample(spark):
         scatter = ((a - a.mean(0)).T @ (a - a.mean(0)) + (b - b.mean(0)).T @ (b - b.mean(0))) / 43
         want = classify.lda_scores(scatter, a.mean(0), b.mean(0), y.mean(), x[:15, :n])
         assert np.allclose([got[n, i] for i in range(15)], want, atol=1e-12)
+
+
+def test_forest_sizes_have_tasks_of_their_own(spark):
+    _, found = sweep_of(spark, "forest")
+    assert "slot#" in input_of_tasks(found).split("],")[0]
+    assert found.groupBy("n_features").count().count() == 2 and found.count() == 30
