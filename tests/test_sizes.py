@@ -217,3 +217,14 @@ def test_forest_sizes_have_tasks_of_their_own(spark):
     _, found = sweep_of(spark, "forest")
     assert "slot#" in input_of_tasks(found).split("],")[0]
     assert found.groupBy("n_features").count().count() == 2 and found.count() == 30
+
+
+def test_runs_are_not_shuffled_whole(spark):
+    rows = spark.createDataFrame([(i, [float(i % 3), float(i % 7), 0.5 * (i % 2)]) for i in range(80)], "sample long, values array<double>")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = clusters.consensus_runs(rows, 4, 0.8, 3, 7)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert not any("SortMergeJoin [run" in x for x in plan.splitlines())
