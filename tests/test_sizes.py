@@ -228,3 +228,27 @@ def test_runs_are_not_shuffled_whole(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert not any("SortMergeJoin [run" in x for x in plan.splitlines())
+
+
+def test_medoid_steps_read_block_pairs_and_move_sums(spark):
+    x, rows = points(spark)
+    held = medoids.packed(rows.withColumn("run", F.lit(1)), 20)
+    assert held.count() == 10  # 4 blocks of 70 samples
+    dist = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    add = medoids.best_steps(held, {1: ([], [])}, {1: False}, "euclid")
+    assert not any("hashpartitioning(run" in y and "sample" in y for y in add._jdf.queryExecution().executedPlan().toString().splitlines())
+    best = min((r["change"], r["sample"]) for r in add.collect())
+    assert best[1] == dist.sum(0).argmin() and abs(best[0] - dist.sum(0).min()) < 1e-8
+    to = dist[:, [3, 9]]
+    costs = {(s, c): np.minimum(dist[:, c], to[:, 1 - s]).sum() - to.min(1).sum() for s in (0, 1) for c in range(70) if c not in (3, 9)}
+    swap = min((r["change"], r["sample"], r["slot"]) for r in medoids.best_steps(held, {1: ([3, 9], [x[3].tolist(), x[9].tolist()])}, {1: True}, "euclid").collect())
+    assert abs(swap[0] - min(costs.values())) < 1e-8 and abs(costs[swap[2], swap[1]] - swap[0]) < 1e-8
+
+
+def test_tiles_of_distances_have_copies_at_zero():
+    from tessella.operators import blocks
+
+    x = np.random.default_rng(4).normal(size=(70, 5))
+    x[7], x[50] = x[3], x[3] + 1e-9
+    found = blocks.euclid_tiles(x, x)(slice(0, 60), slice(2, 70))
+    assert found[3, 5] == 0 and np.abs(found - np.sqrt(((x[:60, None] - x[2:]) ** 2).sum(2))).max() < 1e-12
