@@ -252,3 +252,13 @@ def test_tiles_of_distances_have_copies_at_zero():
     x[7], x[50] = x[3], x[3] + 1e-9
     found = blocks.euclid_tiles(x, x)(slice(0, 60), slice(2, 70))
     assert found[3, 5] == 0 and np.abs(found - np.sqrt(((x[:60, None] - x[2:]) ** 2).sum(2))).max() < 1e-12
+
+
+def test_average_linkage_of_points_makes_no_table_of_pairs(spark):
+    _, rows = points(spark, 60)
+    want = merged_sets(dendrograms.merges(statistics.distances(rows), "average"))
+    for part, last in ((4, 12), (100, 2048)):
+        found = merged_sets(dendrograms.point_average(rows, part, last, 16))
+        assert [s for s, _ in found] == [s for s, _ in want] and len(found) == 59
+        assert np.allclose([h for _, h in found], [h for _, h in want], atol=1e-9)
+    assert dendrograms.point_average(rows.limit(0)).count() == 0 and dendrograms.point_average(rows.limit(1)).count() == 0
