@@ -1,5 +1,7 @@
 """Steps that held only for small tables."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -46,6 +48,16 @@ def by_pair(rows, per_sampled=False):
                 yield a, b, float(n), n / (len(own[a].keys() & own[b].keys()) if per_sampled else len(own[b]))
 
 
+def test_shares_are_rounded_from_whole_numbers(spark, sf_dir):
+    found = consensus.shares(200, 6)
+    for whole in range(1, 201):
+        for n in range(whole + 1):
+            assert found[n, whole] == float((Decimal(n) / whole).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    assert found[1, 128] == 0.007813 and consensus.shares(200)[1, 3] == 1 / 3
+    for name in ("coassociation", "coassociation_norm", "mask_low_confidence", "graph_edges"):
+        assert "round(" not in catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
 def moved_by_pair(df):
     """Whether a shuffle of the plan has the pairs as its keys."""
     plan = df._jdf.queryExecution().executedPlan().toString()
