@@ -311,6 +311,28 @@ def test_medoid_steps_read_block_pairs_and_move_sums(spark):
     assert abs(swap[0] - min(costs.values())) < 1e-8 and abs(costs[swap[2], swap[1]] - swap[0]) < 1e-8
 
 
+def test_medoid_gains_use_one_room_for_all_tiles():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    i, j = slice(0, 64), slice(0, 1024)
+    for width, metric in ((2, "euclid"), (9, "euclid"), (9, "pearson")):
+        x, y, centres = (rng.normal(size=(n, width)) for n in (64, 1024, 3))
+        own, room = np.empty((2, 64, 1024))
+        tile, gains = medoids.tile_distances(x, y, metric), medoids.Gains(x, centres, metric, True, 1024)
+        tracemalloc.start()
+        tile(i, j, own)
+        if width > 4:  # narrow rows need an array of gaps
+            assert tracemalloc.get_traced_memory()[1] < own.nbytes / 2
+        tracemalloc.reset_peak()
+        gains.add(own, i, j, True, room)
+        assert tracemalloc.get_traced_memory()[1] < own.nbytes / 2
+        tracemalloc.stop()
+        to, dist = medoids.distances(x, centres, metric), medoids.distances(x, y, metric)
+        want = [np.minimum(dist, np.delete(to, s, 1).min(1)[:, None]).sum(0) - to.min(1).sum() for s in range(3)]
+        assert np.allclose(gains.change, want, atol=1e-10)
+
+
 def test_tiles_of_distances_have_copies_at_zero():
     from tessella.operators import blocks
 
