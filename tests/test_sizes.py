@@ -352,6 +352,43 @@ def test_average_linkage_of_points_makes_no_table_of_pairs(spark):
     assert dendrograms.point_average(rows.limit(0)).count() == 0 and dendrograms.point_average(rows.limit(1)).count() == 0
 
 
+def test_average_linkage_of_shares_makes_no_table_of_pairs(spark):
+    rows, members = some_runs(spark, 40, 6)  # many shares are equal
+    members = members.where("sample <> 5")  # a sample of no run
+    pairs = by_pair([r for r in rows if r[1] != 5], True)
+    apart = {(a, b): 1.0 for a in range(40) for b in range(a + 1, 40)} | {(a, b): 1 - v for a, b, _, v in pairs if a < b}
+    want = merged_sets(dendrograms.merges(spark.createDataFrame([(a, b, d) for (a, b), d in apart.items()], "a long, b long, dist double"), "average"))
+    samples = spark.range(40).select(F.col("id").alias("sample"))
+    for part, last in ((4, 30), (100, 2048)):
+        found = merged_sets(consensus.average_tree(members, samples, part, last, 16))
+        assert [s for s, _ in found] == [s for s, _ in want] and len(found) == 39
+        assert np.allclose([h for _, h in found], [h for _, h in want], atol=1e-9)
+
+
+def test_last_merges_take_one_pair_at_a_time():
+    rng = np.random.default_rng(0)
+    for k in range(20):
+        x = rng.integers(0, 4 if k % 2 else 1000, size=(30, 2)).astype(float)
+        total, n, want = np.abs(x[:, None] - x).sum(2), np.ones(30), []
+        found = list(dendrograms.finished(total.copy(), n))
+        while len(want) < 29:
+            d = np.round(total / np.maximum(1, np.outer(n, n)), 9)
+            d[np.tril_indices(30)] = np.inf
+            d[n == 0], d[:, n == 0] = np.inf, np.inf
+            a, b = divmod(int(d.argmin()), 30)
+            want.append((a, b, d[a, b], n[a] + n[b]))
+            total[a] += total[b]
+            total[:, a] = total[a]
+            n[a], n[b] = n[a] + n[b], 0
+            total[b] = total[:, b] = np.inf
+        assert found == want
+
+
+def test_shared_counts_runs_of_more_than_a_byte():
+    x, y = np.random.default_rng(1).integers(0, 2, size=(2, 600, 9)).astype(np.int8)
+    assert (consensus.shared(x, y) == (x[:, :, None] == y[:, None]).sum(0)).all() and (consensus.shared(x, x).diagonal() == 600).all()
+
+
 def test_nearest_rows_sort_few_of_many(monkeypatch):
     from tessella.operators import neighbours
 
