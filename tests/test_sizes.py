@@ -5,6 +5,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
@@ -402,3 +403,70 @@ def test_nearest_rows_sort_few_of_many(monkeypatch):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         want = sorted((d[j], ids[j]) for j in range(700) if j != i and not np.isnan(d[j]))[:3]
         assert [(g, ids[j]) for g, j in zip(gap[q == i], r[q == i], strict=True)] == want
+
+
+def test_block_pairs_of_runs_take_few_bytes(spark, monkeypatch):
+    x = np.float32(np.random.default_rng(3).normal(size=(300, 8))).astype(float)
+    rows = spark.createDataFrame([(r, i, v.tolist()) for r in (1, 2) for i, v in enumerate(x)], "run int, sample long, values array<double>")
+    held = medoids.packed(rows, medoids.PACK)
+    sizes = held.select(F.length("a.flat").alias("a"), F.length("b.flat").alias("b")).collect()
+    assert len(sizes) == 2 and all(r["a"] == 1 + 300 * 8 * 4 and r["b"] is None for r in sizes)  # one block a run, four bytes a number
+    monkeypatch.setattr(medoids, "SMALL", 50)
+    assert medoids.packed(rows, medoids.PACK).count() == 2 * 21  # so few runs are cut, or few cores would have pairs
+    for numbers in (x, x / 3):
+        ids, found = medoids.unpacked(np.arange(300).tobytes(), medoids.number_bytes(numbers.ravel()))
+        assert (found == numbers).all() and len(ids) == 300
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from tessella.sources import shared
+
+    kept = spark.conf.get(shared.DROPPED, None)
+    with shared.shuffles_dropped(spark):
+        assert spark.conf.get(shared.DROPPED) == "true"
+    assert spark.conf.get(shared.DROPPED, None) == kept
+    seen = []
+    frame = spark.range(9).groupBy("id").count()
+    write = type(frame.write).parquet
+    try:
+        type(frame.write).parquet = lambda self, path: (seen.append(spark.conf.get(shared.DROPPED)), write(self, path))[1]
+        assert shared.stored(frame, "few").count() == 9 and seen == ["true"]
+    finally:
+        type(frame.write).parquet = write
+
+
+@pytest.mark.parametrize(("width", "metric"), [(2, "euclid"), (6, "euclid"), (5, "pearson"), (3, "manhattan")])
+def test_pieces_too_far_apart_change_no_gain(monkeypatch, width, metric):
+    monkeypatch.setattr(medoids, "PIECE", 16)
+    rng = np.random.default_rng(8)
+    x, y = (rng.normal(size=(n, width)) + 9 * rng.integers(0, 4, size=(n, 1)) * np.arange(width) for n in (220, 190))
+    for k, full in ((0, False), (4, False), (5, True), (1, True)):
+        centres = x[rng.permutation(220)[:k]] if k else None
+        (i, p), (j, q) = (medoids.arranged(m, centres, metric) for m in (x, y))
+        a, b = x[i], y[j]
+        assert sorted(i) == list(range(220)) and np.diff([*p, 220]).max() <= 16
+        gains, dist, least = medoids.Gains(a, centres, metric, full, 190), medoids.distances(a, b, metric), medoids.far_apart(a, p, b, q, metric)
+        assert (least <= np.minimum.reduceat(np.minimum.reduceat(dist, p, 0), q, 1) + 1e-12).all()
+        near, far = gains.reach(p)
+        some = least < far[:, None]
+        assert metric == "pearson" or not some.all() or not k or (full and k == 1)  # some are passed over
+        for r, c, s, t, own, room in medoids.piece_distances(a, p, b, q, metric, some):
+            gains.add(own, s, t, True, room, least[r, c] < near[r])
+        to = medoids.distances(a, centres, metric) if k else None
+        if full and k > 1:
+            want = np.array([np.minimum(dist, np.delete(to, s, 1).min(1)[:, None]).sum(0) for s in range(k)]) - to.min(1).sum()
+        else:
+            want = (np.minimum(dist, to.min(1)[:, None]) if k and not full else dist).sum(0)[None] - (to.min(1).sum() if k else 0)
+        assert np.allclose(gains.change, want, atol=1e-9)
+
+
+def test_best_k_moves_no_values(spark, monkeypatch):
+    _, rows = points(spark)
+    called = []
+    monkeypatch.setattr(medoids, "by_block_pairs", lambda *a, **b: called.append(a))
+    found = medoids.best_of(rows, [2, 3, 4], block=30)
+    assert found.count() == rows.count() and not called
+    k, score = found.select("k", "silhouette").first()
+    monkeypatch.undo()
+    own = found.select(F.lit(0).alias("run"), "sample", "cluster").join(rows, "sample")
+    assert abs(medoids.silhouettes(own).agg(F.avg("silhouette")).first()[0] - score) < 1e-8
