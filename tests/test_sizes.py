@@ -470,3 +470,30 @@ def test_best_k_moves_no_values(spark, monkeypatch):
     monkeypatch.undo()
     own = found.select(F.lit(0).alias("run"), "sample", "cluster").join(rows, "sample")
     assert abs(medoids.silhouettes(own).agg(F.avg("silhouette")).first()[0] - score) < 1e-8
+
+
+def test_cells_of_equal_values_lie_beside_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(r, s, int(c)) for r in range(5) for s, c in enumerate(rng.integers(0, 3, 400)) if rng.random() < 0.8]
+    members = spark.createDataFrame(rows, "run int, sample long, cluster int")
+    low = spark.createDataFrame([(s,) for s in range(0, 400, 7)], "sample long")
+    for found in (consensus.coassociation(members, low=low), consensus.coassociation(members, True)):
+        parts = found.withColumn("p", F.spark_partition_id()).toPandas()
+        values = parts[["n", "norm"]].fillna(-1)
+        assert (values.diff().abs().sum(axis=1) > 0).sum() < len(parts) / 10  # one row after another they nearly all differ
+    rows = [r for r in rows if r[1] < 60]
+    members, plain = members.where("sample < 60"), merged_of(rows, 5)
+    for most in (2**40, 3):
+        monkeypatch.setattr(consensus, "NUMBERS", most)
+        found = {(r[0], r[1]): r[2:] for r in consensus.merged_counts(members, 5).collect()}
+        assert found.keys() == plain.keys()
+        assert all(found[k][0] == sum(v) and abs(found[k][1] - np.mean(v)) < 1e-12 and (found[k][2] is None if len(v) == 1 else abs(found[k][2] - np.std(v, ddof=1)) < 1e-12) for k, v in plain.items())
+
+
+def merged_of(rows, parts):
+    counts = {}
+    for r, s, c in rows:
+        for q, t, d in rows:
+            if r == q and c == d:
+                counts.setdefault((s, t), {}).setdefault(r % parts, []).append(1)
+    return {k: [len(x) for x in v.values()] for k, v in counts.items()}
