@@ -497,3 +497,16 @@ def merged_of(rows, parts):
             if r == q and c == d:
                 counts.setdefault((s, t), {}).setdefault(r % parts, []).append(1)
     return {k: [len(x) for x in v.values()] for k, v in counts.items()}
+
+
+def test_distances_of_a_tile_rise(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "REPEATS", 0)
+    x, rows = points(spark, 90)
+    for metric in ("euclid", "manhattan", "pearson"):
+        found = statistics.distances(rows, metric).withColumn("p", F.spark_partition_id()).toPandas()
+        falls = (found["dist"].diff() < -1e-6) & (found["p"].diff() == 0)
+        assert falls.sum() <= 136 < len(found) / 20  # one for each pair of blocks; about half of all rows where they are not sorted
+    d = np.random.default_rng(1).normal(size=5000) ** 2
+    d[7] = np.nan
+    order = statistics.rising(d)
+    assert sorted(order) == list(range(5000)) and order[-1] == 7 and (np.diff(d[order[:-1]]) > -1e-6).all()
